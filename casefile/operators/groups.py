@@ -71,9 +71,11 @@ def number_rows(
     hot_rows: int = HOT_ROWS,
     newest: bool = False,
     limit: int | None = None,
+    keep_part: bool = False,
 ) -> DataFrame:
     """1-based place of each row of its key, by ``time`` then ``ties``, up to
-    ``limit`` if given; ``newest`` numbers from the end."""
+    ``limit`` if given; ``newest`` numbers from the end. The result is
+    partitioned by (key, part), which ``keep_part`` lets a later step use."""
     marked = _with_part(df, key, time, hot_rows)
     direction = F.desc if newest else F.asc
     order = [direction(c) for c in [time, *ties]]
@@ -83,8 +85,9 @@ def number_rows(
         # On its own, so that Spark cuts each group before the shuffle.
         rows = rows.where(F.col("within") <= limit)
     before = F.coalesce(F.col("before"), F.lit(0))
+    kept = [*df.columns, "part"] if keep_part else df.columns
     placed = rows.join(_rows_before(marked, key, newest), [key, "part"], "left").select(
-        *df.columns, (F.col("within") + before).alias(name)
+        *kept, (F.col("within") + before).alias(name)
     )
     return placed if limit is None else placed.where(F.col(name) <= limit)
 
@@ -140,7 +143,8 @@ def pages(
     """Gathers ``item`` per key in ``position`` order, in pages of fixed length.
 
     Positions are whole numbers from 0, unique within a key, so a page never
-    holds more than ``page_rows`` items however large the key is.
+    holds more than ``page_rows`` items however large the key is. ``first`` is
+    the position of a page's first item.
     """
     page = F.call_function("div", F.col(position), F.lit(page_rows)).cast("bigint")
     entry = F.struct(F.col(position).alias("at"), item.alias("item"))
@@ -148,7 +152,10 @@ def pages(
         F.sort_array(F.collect_list(entry)).alias("entries")
     )
     return gathered.select(
-        *keys, "page", F.transform("entries", lambda e: e["item"]).alias(name)
+        *keys,
+        "page",
+        F.col("entries")[0]["at"].alias("first"),
+        F.transform("entries", lambda e: e["item"]).alias(name),
     )
 
 

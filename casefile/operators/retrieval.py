@@ -32,7 +32,8 @@ def top_k(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
     cuts each query to ``k`` rows within every task before it shuffles."""
     order = W.partitionBy(query).orderBy(F.desc("score"), item)
     ranked = scored.withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select(query, item, "rank")
+    rank = F.col("rank").cast("bigint").alias("rank")
+    return ranked.where(F.col("rank") <= k).select(query, item, rank)
 
 
 def lexical_scores(
@@ -40,10 +41,9 @@ def lexical_scores(
 ) -> DataFrame:
     """RET-1: BM25 of every (question, document) pair that shares a token.
 
-    The documents are shuffled once, by id, and tokenized before that. Token
-    counts, and the sums per (question, document), then need no further shuffle:
-    the query tokens come in as a broadcast whose length is checked. The same
-    shuffle feeds the document frequencies and the corpus averages.
+    The documents are tokenized and shuffled once, by id. Token counts, document
+    frequencies and the sums per (question, document) all come from that one
+    shuffle: the query tokens join as a broadcast whose length is checked.
     """
     asked = questions.select(
         query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")
@@ -53,26 +53,22 @@ def lexical_scores(
         return broadcast_within(side, asked, MAX_BROADCAST_TOKENS)
 
     vocabulary = small(asked.select("token").distinct())
-    corpus = documents.select(item, tokens(F.col("text")).alias("words")).repartition(
-        item
-    )
-    words = corpus.select(
-        item, F.size("words").alias("n_words"), F.explode("words").alias("token")
-    )
     counts = (
-        words.join(vocabulary, "token", "left_semi")
+        documents.select(item, tokens(F.col("text")).alias("words"))
+        .repartition(item)
+        .select(item, F.size("words").alias("n_words"), F.explode("words").alias("token"))
+        .join(vocabulary, "token", "left_semi")
         .groupBy(item, "n_words", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    frequencies = (
-        corpus.select(item, F.explode(F.array_distinct("words")).alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy("token")
-        .agg(F.count(F.lit(1)).alias("df"))
+    frequencies = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    corpus = documents.groupBy().agg(
+        F.struct(
+            F.count(F.lit(1)).alias("total"),
+            F.avg(F.size(tokens(F.col("text")))).alias("average"),
+        ).alias("corpus")
     )
-    sizes = corpus.select(item, F.size("words").alias("n_words")).groupBy()
-    total = sizes.agg(F.count(F.lit(1))).scalar()
-    average = sizes.agg(F.avg("n_words")).scalar()
+    total, average = corpus.scalar()["total"], corpus.scalar()["average"]
 
     df = F.col("df")
     weights = asked.join(frequencies, "token").select(
@@ -191,7 +187,13 @@ def fuse(
     return (
         scored.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)
-        .select(query, item, "lexical_rank", "vector_rank", "rank")
+        .select(
+            query,
+            item,
+            "lexical_rank",
+            "vector_rank",
+            F.col("rank").cast("bigint").alias("rank"),
+        )
     )
 
 

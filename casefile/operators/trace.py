@@ -135,7 +135,8 @@ def transactions(parsed: DataFrame) -> DataFrame:
 
 
 def story(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """TRC-3, WIN-5: the lines of each transaction as numbered sentences."""
+    """TRC-3, WIN-5: the lines of each transaction as numbered sentences. Only a
+    very long transaction has more than the one ``part`` 0."""
     lines = parsed.where("rrn IS NOT NULL").select(
         "rrn",
         "ts",
@@ -150,8 +151,10 @@ def story(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         ).alias("sentence"),
     )
     ties = ["rank", "xid", "sentence"]
-    numbered = number_rows(lines, "rrn", "ts", ties, "step", hot_rows)
-    return numbered.select("rrn", "step", "ts", "function", "sentence")
+    numbered = number_rows(
+        lines, "rrn", "ts", ties, "step", hot_rows, keep_part=True
+    )
+    return numbered.select("rrn", "part", "step", "ts", "function", "sentence")
 
 
 def hsm_exchanges(parsed: DataFrame) -> DataFrame:
@@ -179,26 +182,37 @@ def _rule_value(place: int) -> Column:
     return value
 
 
-def inconsistencies(cards: DataFrame, exchanges: DataFrame) -> DataFrame:
-    """TRC-5, TRC-6, TRC-7: the broken rules of each transaction."""
-    r1 = (
+def _found(**rules: Column) -> Column:
+    """The names of the rules that hold."""
+    return F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]))
+
+
+def card_rules() -> Column:
+    """TRC-5, TRC-6, over a transaction card."""
+    no_code = (
         F.col("reversal_ts").isNotNull()
         & F.col("reversal_code").isNull()
         & (F.col("response_code") == APPROVED)
     )
-    r2 = F.col("latency_ms") > LATENCY_LIMIT_MS
-    r3 = F.col("reply_ts").isNull()
-    r4 = F.col("hsm_return") != APPROVED
-    none = F.lit("")
+    return _found(R1=no_code, R2=F.col("latency_ms") > LATENCY_LIMIT_MS)
+
 
-    def found(source: DataFrame, xid: Column, **rules: Column) -> DataFrame:
-        hits = F.array_compact(F.array(*[F.when(r, F.lit(n)) for n, r in rules.items()]))
-        return source.select("rrn", xid.alias("xid"), F.explode(hits).alias("rule"))
+def exchange_rules() -> Column:
+    """TRC-7, over a security-module exchange."""
+    failed = F.col("hsm_return") != APPROVED
+    return _found(R3=F.col("reply_ts").isNull(), R4=failed)
 
-    rows = found(cards, none, R1=r1, R2=r2).unionByName(
-        found(exchanges, F.coalesce("xid", none), R3=r3, R4=r4)
+
+def inconsistencies(cards: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """The broken rules of each transaction, one row each."""
+    none = F.lit("")
+    of_cards = cards.select("rrn", none.alias("xid"), F.explode(card_rules()).alias("rule"))
+    of_exchanges = exchanges.select(
+        "rrn",
+        F.coalesce("xid", none).alias("xid"),
+        F.explode(exchange_rules()).alias("rule"),
     )
-    return rows.select(
+    return of_cards.unionByName(of_exchanges).select(
         "rrn",
         "xid",
         "rule",
@@ -207,6 +221,15 @@ def inconsistencies(cards: DataFrame, exchanges: DataFrame) -> DataFrame:
     )
 
 
+def with_rules(cards: DataFrame, exchanges: DataFrame) -> DataFrame:
+    """Each card with the distinct rules that it breaks, at most one of each."""
+    broken = exchanges.select("rrn", F.explode(exchange_rules()).alias("rule"))
+    of_exchanges = broken.groupBy("rrn").agg(F.collect_set("rule").alias("more"))
+    more = F.coalesce("more", F.array().cast("array<string>"))
+    rules = F.sort_array(F.concat(card_rules(), more))
+    return cards.join(of_exchanges, "rrn", "left").withColumn("rules", rules).drop("more")
+
+
 def status_counts(cards: DataFrame) -> DataFrame:
     """AGG-7."""
     return cards.groupBy("status").agg(
@@ -269,42 +292,39 @@ def code_meanings(parsed: DataFrame, codes: DataFrame) -> DataFrame:
 
 
 def story_pages(steps: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """The story of each transaction as arrays of bounded length."""
+    """The story of each transaction as arrays of bounded length, each with the
+    number of its first step. Parts are gathered where they were numbered."""
     numbered = steps.withColumn("at", F.col("step") - 1)
-    return pages(numbered, ["rrn"], "at", F.col("sentence"), "story", page_rows)
+    told = pages(numbered, ["rrn", "part"], "at", F.col("sentence"), "story", page_rows)
+    return told.select("rrn", (F.col("first") + 1).alias("first_step"), "story")
 
 
-def issue_summary(issues: DataFrame) -> DataFrame:
-    """The distinct broken rules of each transaction: at most one per rule."""
-    rules = issues.groupBy("rrn").agg(F.collect_set("rule").alias("found"))
-    names = F.array(*[F.lit(r[0]) for r in RULES])
-    chosen = F.filter(names, lambda n: F.array_contains("found", n))
+def _issue_list(rules: str) -> Column:
+    """Rule names as issues of an answer."""
 
-    def column(place: int) -> Column:
-        value = F.create_map(*[F.lit(x) for r in RULES for x in (r[0], r[place])])
-        return F.transform(chosen, lambda n: value[n])
+    def value(name: Column, place: int) -> Column:
+        pairs = [F.lit(x) for rule in RULES for x in (rule[0], rule[place])]
+        return F.create_map(*pairs)[name]
 
-    issue = F.transform(
-        F.arrays_zip(column(1).alias("severity"), column(2).alias("title")),
-        lambda z: F.struct(
-            z["severity"].alias("severity"),
-            z["title"].alias("title"),
+    return F.transform(
+        rules,
+        lambda name: F.struct(
+            value(name, 1).alias("severity"),
+            value(name, 2).alias("title"),
             F.lit(None).cast("string").alias("detail"),
         ),
     )
-    return rules.select(
-        "rrn", issue.alias("issues"), column(3).alias("recommendations")
-    )
 
 
-def structured_answers(
-    cards: DataFrame,
-    steps: DataFrame,
-    issues: DataFrame,
-    page_rows: int = PAGE_ROWS,
-) -> DataFrame:
+def _advice_list(rules: str) -> Column:
+    pairs = [F.lit(x) for rule in RULES for x in (rule[0], rule[3])]
+    return F.transform(rules, lambda name: F.create_map(*pairs)[name])
+
+
+def structured_answers(told: DataFrame, cards: DataFrame) -> DataFrame:
     """RET-5, PRJ-6, PRJ-7, STR-4: the answer record of each transaction, one
-    row per page of its story (more than one only for very long ones)."""
+    row per page of its story (more than one only for very long ones). ``cards``
+    carry their rules."""
     summary = F.concat(
         F.lit("Transaction "),
         F.col("rrn"),
@@ -314,28 +334,17 @@ def structured_answers(
         F.col("n_lines").cast("string"),
         F.lit(" log entries."),
     )
-    empty_issues = F.array().cast(
-        "array<struct<severity:string,title:string,detail:string>>"
-    )
-    joined = (
-        story_pages(steps, page_rows)
-        .join(cards, "rrn")
-        .join(issue_summary(issues), "rrn", "left")
-    )
-    return joined.select(
+    references = F.array().cast("array<struct<source:string,page:int>>")
+    return told.join(cards, "rrn").select(
         F.col("rrn").alias("conversation_id"),
-        "page",
+        "first_step",
         F.lit("log").alias("agent"),
         F.struct(
             summary.alias("summary"),
             "story",
-            F.coalesce("issues", empty_issues).alias("issues"),
-            F.coalesce("recommendations", F.array().cast("array<string>")).alias(
-                "recommendations"
-            ),
-            F.array()
-            .cast("array<struct<source:string,page:int>>")
-            .alias("references"),
+            _issue_list("rules").alias("issues"),
+            _advice_list("rules").alias("recommendations"),
+            references.alias("references"),
         ).alias("answer"),
     )
 
@@ -355,16 +364,6 @@ def agent_summary(agent: Column, question: Column) -> Column:
     )
 
 
-def report(
-    cards: DataFrame, steps: DataFrame, issues: DataFrame, page_rows: int = PAGE_ROWS
-) -> DataFrame:
+def report(told: DataFrame, cards: DataFrame) -> DataFrame:
     """TRC-9: a row per transaction (and story page), ready for the JSON sink."""
-    found = issues.groupBy("rrn").agg(
-        F.sort_array(F.collect_set("rule")).alias("rules")
-    )
-    return (
-        story_pages(steps, page_rows)
-        .join(cards, "rrn")
-        .join(found, "rrn", "left")
-        .withColumn("rules", F.coalesce("rules", F.array().cast("array<string>")))
-    )
+    return told.join(cards, "rrn")

@@ -58,7 +58,8 @@ def manifest(uploads: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """AGG-2, PRJ-3: the accepted files of each batch, in upload order."""
     item = F.struct("filename", "content_type", "size")
     files = accepted_files(uploads)
-    return pages(files, ["request_id", "agent"], "ordinal", item, "files", page_rows)
+    keys = ["request_id", "agent"]
+    return pages(files, keys, "ordinal", item, "files", page_rows).drop("first")
 
 
 def attachment_lists(
@@ -69,7 +70,8 @@ def attachment_lists(
         F.col("filename").alias("name"), "size", F.col("content_type").alias("type")
     )
     kept = uploads.where(F.col("ordinal") != removed_position)
-    return pages(kept, ["request_id"], "ordinal", item, "attachments", page_rows)
+    lists = pages(kept, ["request_id"], "ordinal", item, "attachments", page_rows)
+    return lists.drop("first")
 
 
 def without_position(items: Column, position: int | Column) -> Column:

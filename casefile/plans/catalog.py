@@ -308,7 +308,7 @@ def trace_summary(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trace_story(spark: SparkSession, folder: str) -> DataFrame:
-    return _times_as_text(trace.story(_parsed(spark, folder)))
+    return _times_as_text(trace.story(_parsed(spark, folder)).drop("part"))
 
 
 def hsm_exchanges(spark: SparkSession, folder: str) -> DataFrame:
@@ -328,14 +328,17 @@ def response_code_meaning(spark: SparkSession, folder: str) -> DataFrame:
     return _filled(shown, "response_code")
 
 
-def trace_report(spark: SparkSession, folder: str) -> DataFrame:
+def _told_and_cards(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     parsed = _parsed(spark, folder)
-    rows = trace.report(
-        trace.transactions(parsed), trace.story(parsed), _trace_issues(parsed)
-    )
+    cards = trace.with_rules(trace.transactions(parsed), trace.hsm_exchanges(parsed))
+    return trace.story_pages(trace.story(parsed)), cards
+
+
+def trace_report(spark: SparkSession, folder: str) -> DataFrame:
+    rows = trace.report(*_told_and_cards(spark, folder))
     shown = rows.select(
         "rrn",
-        "page",
+        "first_step",
         "card",
         "status",
         "response_code",
@@ -347,14 +350,13 @@ def trace_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def structured_answer(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = _parsed(spark, folder)
-    rows = trace.structured_answers(
-        trace.transactions(parsed), trace.story(parsed), _trace_issues(parsed)
+    rows = trace.structured_answers(*_told_and_cards(spark, folder))
+    titles = F.transform(
+        "answer.issues", lambda i: F.concat_ws(":", i["severity"], i["title"])
     )
-    titles = F.transform("answer.issues", lambda i: F.concat_ws(":", i["severity"], i["title"]))
     return rows.select(
         "conversation_id",
-        "page",
+        "first_step",
         "agent",
         F.col("answer.summary").alias("summary"),
         F.array_join("answer.story", " ").alias("story"),

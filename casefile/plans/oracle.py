@@ -137,7 +137,7 @@ VIEWS = {
                CASE WHEN path = 'rev' AND event_id % 2 = 0 THEN '00' ELSE '' END AS rev_code,
                CASE WHEN path IN ('rev', 'decl') OR (replied AND rc <> '00') THEN 'ERROR'
                     WHEN path = 'lone' THEN 'UNKNOWN' ELSE 'OK' END AS status,
-               1 + (path <> 'lone')::INT + (path = 'rev')::INT + asked::INT + replied::INT AS n_lines
+               1 + (path <> 'lone')::BIGINT + (path = 'rev')::BIGINT + asked::BIGINT + replied::BIGINT AS n_lines
         FROM tx""",
     "entry": """
         SELECT rrn, ts AS moment, 0 AS rank, '0100' AS kind, card, '000000' AS proc, '' AS code,
@@ -251,7 +251,7 @@ QUERIES = {
         SELECT conv_id, title, agent, '2024-01-01 00:00:00.000000' AS created_at,
                status, id, agent AS stored_agent FROM created""",
     "message_timeline": f"""
-        SELECT conversation_id, position, id, role, content, 0 AS n_attachments,
+        SELECT conversation_id, position, id, role, content, 0::BIGINT AS n_attachments,
                {_text("created_at")} AS created_at
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY created_at, id) AS position
               FROM msg) WHERE position <= 500""",
@@ -341,12 +341,12 @@ QUERIES = {
                CAST(CASE WHEN any_value(f.error) IS NULL THEN sum(c.size) ELSE 0 END AS BIGINT) AS total_size
         FROM checked c LEFT JOIN failed f USING (request_id) GROUP BY c.request_id, c.agent""",
     "upload_manifest": """
-        SELECT request_id, agent, 0 AS page,
+        SELECT request_id, agent, 0::BIGINT AS page,
                string_agg(filename || ':' || content_type || ':' || size, '|' ORDER BY ordinal) AS files
         FROM upload WHERE request_id NOT IN (SELECT request_id FROM failed)
         GROUP BY request_id, agent""",
     "attachment_lists": """
-        SELECT request_id, 0 AS page,
+        SELECT request_id, 0::BIGINT AS page,
                string_agg(filename || ':' || size || ':' || content_type, '|' ORDER BY ordinal) AS attachments
         FROM upload WHERE request_id NOT IN (SELECT request_id FROM failed)
           AND ordinal <> request_id % 3
@@ -362,7 +362,7 @@ QUERIES = {
                CASE WHEN size > 20971520 THEN 'rejected' ELSE 'accepted' END AS outcome
         FROM upload""",
     "upload_size_messages": """
-        SELECT request_id, 0 AS page,
+        SELECT request_id, 0::BIGINT AS page,
                'The following files exceed 20 MB: ' || string_agg(filename, ', ' ORDER BY ordinal) AS message
         FROM upload WHERE size > 20971520 GROUP BY request_id""",
     "answer_sections": """
@@ -381,10 +381,10 @@ QUERIES = {
                coalesce(a.source, '') AS source, coalesce(page, '') AS page
         FROM documents LEFT JOIN answer a USING (doc_id)""",
     "answer_issues": """
-        SELECT doc_id, 1 AS step, CASE severity WHEN 'critical' THEN 'info' ELSE severity END AS severity,
+        SELECT doc_id, 1::BIGINT AS step, CASE severity WHEN 'critical' THEN 'info' ELSE severity END AS severity,
                title, detail FROM answer""",
     "answer_references": """
-        SELECT doc_id, 1 AS step, source,
+        SELECT doc_id, 1::BIGINT AS step, source,
                CASE page WHEN '' THEN '' ELSE 'p.' || page END AS page_label FROM answer""",
     "error_messages": """
         SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'd' || event_id
@@ -430,12 +430,12 @@ QUERIES = {
                CASE code WHEN '00' THEN 'approved' WHEN '05' THEN 'declined' ELSE '' END AS response_meaning
         FROM entry""",
     "trace_report": """
-        SELECT rrn, 0 AS page, card, status, code AS response_code, n_lines,
+        SELECT rrn, 1::BIGINT AS first_step, card, status, code AS response_code, n_lines,
                coalesce((SELECT string_agg(rule, ',' ORDER BY rule) FROM broken b WHERE b.rrn = c.rrn), '') AS rules,
                story
         FROM card c JOIN told USING (rrn)""",
     "structured_answer": """
-        SELECT rrn AS conversation_id, 0 AS page, 'log' AS agent,
+        SELECT rrn AS conversation_id, 1::BIGINT AS first_step, 'log' AS agent,
                'Transaction ' || rrn || ' has status ' || status || ' after ' || n_lines || ' log entries.' AS summary,
                story,
                coalesce(b.issues, '') AS issues, coalesce(b.advice, '') AS recommendations
