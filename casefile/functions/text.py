@@ -37,8 +37,8 @@ def js_trim(text: Column) -> Column:
 
 
 def is_not_blank(text: Column) -> Column:
-    """FIL-7."""
-    return F.coalesce(F.length(js_trim(text)) > 0, F.lit(False))
+    """FIL-7: whether anything but white space is there."""
+    return F.coalesce(text.rlike(f"[^{JS_SPACE[1:]}"), F.lit(False))
 
 
 def auto_title(text: Column) -> Column:
@@ -54,6 +54,12 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
 
+def first_token(text: Column) -> Column:
+    """The first of them, or null."""
+    found = F.regexp_extract(F.lower(text), TOKEN, 0)
+    return F.nullif(found, F.lit(""))
+
+
 def question_intent(question: Column) -> Column:
     """RET-4: README-only in the reference; the rules are ours."""
     text = F.lower(js_trim(question))

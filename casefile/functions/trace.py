@@ -17,13 +17,16 @@ KINDS = (REQUEST, RESPONSE, COMMAND, REPLY, REVERSAL)
 FUNCTIONS = ("authorize", "respond", "hsm_command", "hsm_reply", "reverse")
 
 
-def captured(line: Column, pattern: str) -> Column:
-    """The first group, or null without a match."""
-    return F.nullif(F.regexp_extract(line, pattern, 1), F.lit(""))
+def value_after(line: Column, key: str) -> Column:
+    """The text between ``key`` and the next space, or null. Plain string search:
+    several times cheaper per line than a regular expression per field."""
+    start = F.instr(line, key)
+    value = F.substring_index(F.substr(line, start + len(key)), " ", 1)
+    return F.when(start > 0, F.nullif(value, F.lit("")))
 
 
 def field(line: Column, number: str) -> Column:
-    return captured(line, rf" FLD\({number}\)=([0-9A-Za-z]+)")
+    return value_after(line, f" FLD({number})=")
 
 
 def line_time(line: Column) -> Column:
@@ -34,7 +37,10 @@ def line_time(line: Column) -> Column:
 
 def line_kind(line: Column) -> Column:
     """The message type, or the direction of a security-module line."""
-    return captured(line, r"^.{27}(?:MTI=)?(\d{4}|HSM[<>])(?: |$)")
+    word = F.substring_index(F.substr(line, F.lit(STAMP_LENGTH + 2)), " ", 1)
+    return F.when(word.rlike("^MTI=[0-9]{4}$"), F.substring(word, 5, 4)).when(
+        word.isin(COMMAND, REPLY), word
+    )
 
 
 def masked_card(number: Column) -> Column:

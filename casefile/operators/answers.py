@@ -95,7 +95,8 @@ def sections(parsed: DataFrame, key: str) -> DataFrame:
         lines("recommendations", lambda x: x),
         lines("references", reference_text),
     )
-    return parsed.select(key, F.inline(shown))
+    # ``outer``, since a plain inline also filters on the array's size first.
+    return parsed.select(key, F.inline_outer(shown)).where("section IS NOT NULL")
 
 
 def issues(parsed: DataFrame, key: str) -> DataFrame:

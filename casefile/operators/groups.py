@@ -132,23 +132,23 @@ def with_preceding(
     return plain.unionByName(blocked)
 
 
-def pages(
-    df: DataFrame,
-    keys: list[str],
-    position: str,
-    item: Column,
-    name: str,
-    page_rows: int = PAGE_ROWS,
+def with_page(df: DataFrame, position: str, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Adds the number of the page, of fixed length, that a position falls on."""
+    page = F.call_function("div", F.col(position), F.lit(page_rows))
+    return df.withColumn("page", page.cast("bigint"))
+
+
+def gather_pages(
+    paged: DataFrame, keys: list[str], position: str, item: Column, name: str
 ) -> DataFrame:
-    """Gathers ``item`` per key in ``position`` order, in pages of fixed length.
+    """Gathers ``item`` per key and page in ``position`` order.
 
-    Positions are whole numbers from 0, unique within a key, so a page never
-    holds more than ``page_rows`` items however large the key is. ``first`` is
-    the position of a page's first item.
+    Positions are whole numbers from 0, unique within a key, so an array never
+    outgrows a page however large the key is. ``first`` is the position of a
+    page's first item.
     """
-    page = F.call_function("div", F.col(position), F.lit(page_rows)).cast("bigint")
     entry = F.struct(F.col(position).alias("at"), item.alias("item"))
-    gathered = df.groupBy(*keys, page.alias("page")).agg(
+    gathered = paged.groupBy(*keys, "page").agg(
         F.sort_array(F.collect_list(entry)).alias("entries")
     )
     return gathered.select(

@@ -41,9 +41,11 @@ def lexical_scores(
 ) -> DataFrame:
     """RET-1: BM25 of every (question, document) pair that shares a token.
 
-    The documents are tokenized and shuffled once, by id. Token counts, document
-    frequencies and the sums per (question, document) all come from that one
-    shuffle: the query tokens join as a broadcast whose length is checked.
+    The documents are tokenized and shuffled once, by id. Corpus averages, token
+    counts, document frequencies and the sums per (question, document) all come
+    from that one shuffle: the query tokens join as a broadcast whose length is
+    checked. ``explode_outer``, because a plain explode makes Spark filter on the
+    array's size before the shuffle, which tokenizes once more.
     """
     asked = questions.select(
         query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")
@@ -53,22 +55,21 @@ def lexical_scores(
         return broadcast_within(side, asked, MAX_BROADCAST_TOKENS)
 
     vocabulary = small(asked.select("token").distinct())
+    words = documents.select(item, tokens(F.col("text")).alias("words"))
+    corpus = words.repartition(item).select(item, "words", F.size("words").alias("n_words"))
     counts = (
-        documents.select(item, tokens(F.col("text")).alias("words"))
-        .repartition(item)
-        .select(item, F.size("words").alias("n_words"), F.explode("words").alias("token"))
+        corpus.select(item, "n_words", F.explode_outer("words").alias("token"))
         .join(vocabulary, "token", "left_semi")
         .groupBy(item, "n_words", "token")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
     frequencies = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    corpus = documents.groupBy().agg(
+    sizes = corpus.groupBy().agg(
         F.struct(
-            F.count(F.lit(1)).alias("total"),
-            F.avg(F.size(tokens(F.col("text")))).alias("average"),
-        ).alias("corpus")
+            F.count(F.lit(1)).alias("total"), F.avg("n_words").alias("average")
+        ).alias("sizes")
     )
-    total, average = corpus.scalar()["total"], corpus.scalar()["average"]
+    total, average = sizes.scalar()["total"], sizes.scalar()["average"]
 
     df = F.col("df")
     weights = asked.join(frequencies, "token").select(

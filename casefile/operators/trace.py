@@ -14,7 +14,6 @@ from casefile.functions.trace import (
     REQUEST,
     RESPONSE,
     REVERSAL,
-    captured,
     field,
     function_name,
     kind_rank,
@@ -23,8 +22,15 @@ from casefile.functions.trace import (
     masked_card,
     millis_between,
     sentence,
+    value_after,
+)
+from casefile.operators.groups import (
+    HOT_ROWS,
+    PAGE_ROWS,
+    gather_pages,
+    number_rows,
+    with_page,
 )
-from casefile.operators.groups import HOT_ROWS, PAGE_ROWS, number_rows, pages
 
 APPROVED = "00"
 LATENCY_LIMIT_MS = 3000
@@ -61,17 +67,19 @@ RULES = (
 def parse_trace(lines: DataFrame) -> DataFrame:
     """TRC-1: one row per line, nothing dropped; what a line lacks is null."""
     line = F.col("line")
-    return lines.select(
+    code = F.coalesce(value_after(line, " cmd="), value_after(line, " rsp="))
+    fields = lines.select(
         line_time(line).alias("ts"),
         line_kind(line).alias("kind"),
         field(line, "037").alias("rrn"),
-        masked_card(field(line, "002")).alias("card"),
+        field(line, "002").alias("card"),
         field(line, "003").alias("processing_code"),
         field(line, "039").alias("response_code"),
-        captured(line, r" (?:cmd|rsp)=([0-9A-Za-z]+)").alias("hsm_code"),
-        captured(line, r" xid=([0-9A-Za-z]+)").alias("xid"),
-        captured(line, r" rc=([0-9A-Za-z]+)").alias("hsm_return"),
+        code.alias("hsm_code"),
+        value_after(line, " xid=").alias("xid"),
+        value_after(line, " rc=").alias("hsm_return"),
     )
+    return fields.withColumn("card", masked_card(F.col("card")))
 
 
 def _first(kind: str, *values: str) -> Column:
@@ -294,8 +302,8 @@ def code_meanings(parsed: DataFrame, codes: DataFrame) -> DataFrame:
 def story_pages(steps: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """The story of each transaction as arrays of bounded length, each with the
     number of its first step. Parts are gathered where they were numbered."""
-    numbered = steps.withColumn("at", F.col("step") - 1)
-    told = pages(numbered, ["rrn", "part"], "at", F.col("sentence"), "story", page_rows)
+    paged = with_page(steps.withColumn("at", F.col("step") - 1), "at", page_rows)
+    told = gather_pages(paged, ["rrn", "part"], "at", F.col("sentence"), "story")
     return told.select("rrn", (F.col("first") + 1).alias("first_step"), "story")
 
 

@@ -11,7 +11,7 @@ from casefile.functions.files import (
     size_text,
     upload_error,
 )
-from casefile.operators.groups import PAGE_ROWS, pages
+from casefile.operators.groups import PAGE_ROWS, gather_pages, with_page
 
 # The reply to an accepted batch and the size-limit message.
 RECEIVED = "Files received successfully"
@@ -48,29 +48,38 @@ def batch_status(uploads: DataFrame) -> DataFrame:
     )
 
 
-def accepted_files(uploads: DataFrame) -> DataFrame:
-    """The files of batches without any bad file."""
-    failed = uploads.where(upload_error(F.col("filename")).isNotNull())
-    return uploads.join(failed.select("request_id").distinct(), "request_id", "left_anti")
+def accepted_files(uploads: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """The files of batches without any bad file, with their page.
+
+    A bad batch is listed once per page, so that the anti-join runs by (batch,
+    page) and spreads a batch that holds most of the files.
+    """
+    bad = F.max(F.when(upload_error(F.col("filename")).isNotNull(), 1).otherwise(0))
+    batches = uploads.groupBy("request_id").agg(
+        bad.alias("bad"), F.max("ordinal").alias("last")
+    )
+    last_page = F.call_function("div", F.col("last"), F.lit(page_rows))
+    failed = batches.where("bad = 1").select(
+        "request_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last_page)).alias("page")
+    )
+    paged = with_page(uploads, "ordinal", page_rows)
+    return paged.join(failed, ["request_id", "page"], "left_anti")
 
 
-def manifest(uploads: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+def manifest(accepted: DataFrame) -> DataFrame:
     """AGG-2, PRJ-3: the accepted files of each batch, in upload order."""
     item = F.struct("filename", "content_type", "size")
-    files = accepted_files(uploads)
     keys = ["request_id", "agent"]
-    return pages(files, keys, "ordinal", item, "files", page_rows).drop("first")
+    return gather_pages(accepted, keys, "ordinal", item, "files").drop("first")
 
 
-def attachment_lists(
-    uploads: DataFrame, removed_position: Column, page_rows: int = PAGE_ROWS
-) -> DataFrame:
+def attachment_lists(accepted: DataFrame, removed_position: Column) -> DataFrame:
     """PRJ-4, FIL-13: files as attachments, without the one that was removed."""
     item = F.struct(
         F.col("filename").alias("name"), "size", F.col("content_type").alias("type")
     )
-    kept = uploads.where(F.col("ordinal") != removed_position)
-    lists = pages(kept, ["request_id"], "ordinal", item, "attachments", page_rows)
+    kept = accepted.where(F.col("ordinal") != removed_position)
+    lists = gather_pages(kept, ["request_id"], "ordinal", item, "attachments")
     return lists.drop("first")
 
 
@@ -101,6 +110,7 @@ def size_messages(uploads: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """AGG-5: one message per batch with oversized files (one per page of them)."""
     _, rejected = split_by_size(uploads)
     name = F.coalesce("filename", F.lit(""))
-    names = pages(rejected, ["request_id"], "ordinal", name, "names", page_rows)
+    paged = with_page(rejected, "ordinal", page_rows)
+    names = gather_pages(paged, ["request_id"], "ordinal", name, "names")
     message = F.concat(F.lit(TOO_LARGE), F.array_join("names", ", "))
     return names.select("request_id", "page", message.alias("message"))

@@ -16,7 +16,12 @@ from casefile.operators import answers, chat, documents, retrieval, trace, uploa
 from casefile.schemas import CONVERSATION_TURN, EVENT
 from casefile.session import work_dir
 from casefile.sources import views
-from casefile.sources.tables import read_file_list, read_table, stream_table
+from casefile.sources.tables import (
+    read_file_list,
+    read_table,
+    spread,
+    stream_table,
+)
 from casefile.streaming import messages as message_stream
 from casefile.streaming import pairing
 
@@ -56,7 +61,7 @@ def _incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "documents")
+    return spread(read_table(spark, folder, "documents"))
 
 
 def _uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +78,8 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    return trace.parse_trace(views.trace_lines(read_table(spark, folder, "events")))
+    events = spread(read_table(spark, folder, "events"))
+    return trace.parse_trace(views.trace_lines(events))
 
 
 def _trace_issues(parsed: DataFrame) -> DataFrame:
@@ -219,7 +225,7 @@ def upload_batch_status(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def upload_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    rows = uploads.manifest(_uploads(spark, folder))
+    rows = uploads.manifest(uploads.accepted_files(_uploads(spark, folder)))
     files = F.transform(
         "files",
         lambda f: F.concat_ws(
@@ -370,7 +376,7 @@ def structured_answer(spark: SparkSession, folder: str) -> DataFrame:
 
 def content_units(spark: SparkSession, folder: str) -> DataFrame:
     texts = documents.text_units(_documents(spark, folder))
-    html = documents.page_units(read_table(spark, folder, "pages"))
+    html = documents.page_units(spread(read_table(spark, folder, "pages")))
     return texts.withColumn("kind", F.lit("document")).unionByName(
         html.withColumn("kind", F.lit("page"))
     )
@@ -469,8 +475,7 @@ def stream_trace_pairing(spark: SparkSession, folder: str) -> DataFrame:
     paired = pairing.pair_reversals(parsed(), parsed(), PAIR_WITHIN, PAIR_DELAY)
     target = work_dir(spark, "pairs")
     pairing.run_pairing(paired, target).awaitTermination()
-    rows = pairing.read_pairs(spark, target, _parsed(spark, folder))
-    # Which requests are still open depends on the batches; the pairs do not.
+    rows = pairing.reconcile(spark, target, _parsed(spark, folder), PAIR_WITHIN)
     shown = _times_as_text(rows.select("rrn", "request_ts", "reversal_ts"))
     return _filled(shown, "reversal_ts")
 

@@ -12,6 +12,18 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+# An input of at most this many splits is small enough to be shuffled for speed.
+FEW_SPLITS = 16
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Gives every core a share of a small input. A large one already has more
+    splits than that and is left alone, so nothing large is ever shuffled here."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows.rdd.getNumPartitions()
+    return rows.repartition(cores) if splits <= FEW_SPLITS and splits < cores else rows
+
+
 def stream_table(
     spark: SparkSession, folder: str, name: str, schema: str
 ) -> DataFrame:

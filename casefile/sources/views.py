@@ -201,7 +201,7 @@ def trace_lines(events: DataFrame) -> DataFrame:
         F.when(event % 4 == 0, command),
         F.when((event % 4 == 0) & (event % 20 != 0), reply),
     )
-    return events.select(F.explode(F.array_compact(lines)).alias("line"))
+    return events.select(F.explode_outer(lines).alias("line")).where("line IS NOT NULL")
 
 
 def codes(spark: SparkSession) -> DataFrame:

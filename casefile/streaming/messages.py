@@ -11,7 +11,9 @@ from casefile.operators.chat import accepted_messages, last_activity, touch
 
 def without_resends(messages: DataFrame, delay: str) -> DataFrame:
     """STM-2: keeps the first of the messages with one id. State is bounded: an
-    id is forgotten ``delay`` after its time has passed."""
+    id is forgotten ``delay`` after its time has passed. Spark skips messages
+    that are later than that; where they occur, append all and read ``distinct``.
+    """
     marked = messages.withWatermark("created_at", delay)
     return marked.dropDuplicatesWithinWatermark(["id"])
 
@@ -39,9 +41,13 @@ def append_messages(
     return writer.option("checkpointLocation", f"{folder}/progress").start()
 
 
-def read_appended(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
-    """All messages that the stream has appended."""
-    return spark.read.schema(schema).parquet(f"{folder}/messages/batch_id=*")
+def read_appended(
+    spark: SparkSession, folder: str, schema: StructType, distinct: bool = False
+) -> DataFrame:
+    """All messages that the stream has appended; ``distinct`` drops re-sent ones
+    however late they came."""
+    rows = spark.read.schema(schema).parquet(f"{folder}/messages/batch_id=*")
+    return rows.dropDuplicates(["id"]) if distinct else rows
 
 
 def read_touched(spark: SparkSession, folder: str, heads: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -16,6 +16,11 @@ def _lines(parsed: DataFrame, kind: str, time: str) -> DataFrame:
     return rows.select("rrn", F.col("ts").alias(time))
 
 
+def _follows(within: str) -> Column:
+    end = F.col("request_ts") + F.expr(f"interval {within}")
+    return (F.col("reversal_ts") >= F.col("request_ts")) & (F.col("reversal_ts") <= end)
+
+
 def pair_reversals(
     requests: DataFrame, reversals: DataFrame, within: str, delay: str
 ) -> DataFrame:
@@ -28,13 +33,8 @@ def pair_reversals(
         .withColumnRenamed("rrn", "reversed_rrn")
         .withWatermark("reversal_ts", delay)
     )
-    paired = left.join(
-        right,
-        (F.col("rrn") == F.col("reversed_rrn"))
-        & (F.col("reversal_ts") >= F.col("request_ts"))
-        & (F.col("reversal_ts") <= F.col("request_ts") + F.expr(f"interval {within}")),
-        "leftOuter",
-    )
+    same = F.col("rrn") == F.col("reversed_rrn")
+    paired = left.join(right, same & _follows(within), "leftOuter")
     return paired.select("rrn", "request_ts", "reversal_ts")
 
 
@@ -48,19 +48,25 @@ def run_pairing(paired: DataFrame, folder: str) -> StreamingQuery:
     )
 
 
-def read_pairs(spark: SparkSession, folder: str, parsed: DataFrame) -> DataFrame:
-    """What the stream has paired, and as ``open`` the requests whose interval
-    it has not seen close."""
+def reconcile(
+    spark: SparkSession, folder: str, parsed: DataFrame, within: str
+) -> DataFrame:
+    """Every request, with its reversal and how that was found.
+
+    ``stream``: paired by the stream. A stream skips lines that come later than
+    its delay, so the other requests are looked up in the stored lines: ``late``
+    if they have a reversal after all, else ``none``.
+    """
     pairs = spark.read.schema(PAIR_SCHEMA).parquet(f"{folder}/pairs")
-    paired = F.col("reversal_ts").isNotNull()
-    closed = pairs.withColumn(
-        "state", F.when(paired, F.lit("reversed")).otherwise(F.lit("closed"))
-    )
+    paired = pairs.where("reversal_ts IS NOT NULL")
     requests = _lines(parsed, REQUEST, "request_ts")
-    unseen = requests.join(pairs, ["rrn", "request_ts"], "left_anti").select(
-        "rrn",
-        "request_ts",
-        F.lit(None).cast("timestamp").alias("reversal_ts"),
-        F.lit("open").alias("state"),
+    rest = requests.join(paired, ["rrn", "request_ts"], "left_anti")
+    reversals = _lines(parsed, REVERSAL, "reversal_ts")
+    same = rest["rrn"] == reversals["rrn"]
+    found = rest.join(reversals, same & _follows(within), "left").select(
+        rest["rrn"], "request_ts", "reversal_ts"
+    )
+    late = F.when(F.col("reversal_ts").isNotNull(), F.lit("late"))
+    return paired.withColumn("found", F.lit("stream")).unionByName(
+        found.withColumn("found", late.otherwise(F.lit("none")))
     )
-    return closed.unionByName(unseen)
