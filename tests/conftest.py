@@ -6,7 +6,12 @@ from casefile.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def shared_folder(tmp_path_factory):
+    return str(tmp_path_factory.mktemp("shared"))
+
+
+@pytest.fixture(scope="session")
+def spark(shared_folder):
     session = build_session(
         "local[8]",
         **{
@@ -14,6 +19,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": shared_folder,
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -123,10 +123,6 @@ def test_late_resends_are_dropped_when_reading(spark, turns, tmp_path):
     assert rows_of(once, "id") == rows_of(expected, "id")
 
 
-def test_work_dir_follows_the_session(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path))
-    try:
-        first, second = work_dir(spark, "x"), work_dir(spark, "x")
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
-    assert first.startswith(str(tmp_path)) and first != second
+def test_work_dir_follows_the_session(spark, shared_folder):
+    first, second = work_dir(spark, "x"), work_dir(spark, "x")
+    assert first.startswith(f"{shared_folder}/x-") and first != second
