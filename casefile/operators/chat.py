@@ -98,6 +98,11 @@ def append_local(groups: DataFrame, local: Column) -> DataFrame:
     return groups.withColumn("messages", F.concat("messages", F.array(local)))
 
 
+def stamped(rows: DataFrame) -> DataFrame:
+    """DAT-1, PRJ-5: gives new rows the time of the job, the same for all."""
+    return rows.withColumn("created_at", F.current_timestamp())
+
+
 def creation_status(requests: DataFrame) -> DataFrame:
     """FIL-6, STR-7, PRJ-5: 201 or 422 per request, with the id and the one
     instant of the rows to insert. Any agent text is accepted."""
@@ -196,6 +201,11 @@ def latest_value(changes: DataFrame, key: str, value: str, order: str) -> DataFr
     return changes.groupBy(key).agg(F.max_by(value, order).alias(value))
 
 
+def without_conversation(heads: DataFrame, conversation_id: str) -> DataFrame:
+    """FIL-12: a list of conversations without one of them."""
+    return heads.where(F.col("id") != conversation_id.lower())
+
+
 def deletion_hits(requested: DataFrame, heads: DataFrame) -> DataFrame:
     """Ids to delete: requested, well-formed and present."""
     wanted = requested.where(is_object_id(F.col("requested_id")))

@@ -56,6 +56,15 @@ def test_find_is_case_insensitive(heads):
     assert chat.find_conversation(heads, ID_A.upper()).count() == 1
 
 
+def test_one_conversation_left_out(heads):
+    assert [r.id for r in chat.without_conversation(heads, ID_A).collect()] == [ID_B]
+
+
+def test_stamp_is_one_instant(spark):
+    rows = chat.stamped(spark.range(1000).repartition(4))
+    assert rows.select("created_at").distinct().count() == 1
+
+
 def test_conversation_messages(stored):
     rows = chat.conversation_messages(stored, ID_A, 2).collect()
     assert [r.content for r in rows] == ["x", ""]
