@@ -53,17 +53,13 @@ def masked_card(number: Column) -> Column:
 
 def kind_rank(kind: Column) -> Column:
     """Position of a kind in KINDS, for lines with equal times; unknown last."""
-    rank = F.lit(len(KINDS))
-    for place, name in reversed(list(enumerate(KINDS))):
-        rank = F.when(kind == name, F.lit(place)).otherwise(rank)
-    return rank
+    place = F.array_position(F.array(*[F.lit(k) for k in KINDS]), kind)
+    return F.coalesce(F.nullif(place, F.lit(0)), F.lit(len(KINDS) + 1))
 
 
 def function_name(kind: Column) -> Column:
-    name = F.lit("other")
-    for known, function in zip(KINDS, FUNCTIONS):
-        name = F.when(kind == known, F.lit(function)).otherwise(name)
-    return name
+    names = F.create_map(*[F.lit(x) for pair in zip(KINDS, FUNCTIONS) for x in pair])
+    return F.coalesce(F.try_element_at(names, kind), F.lit("other"))
 
 
 def sentence(kind: Column, code: Column, command: Column) -> Column:
