@@ -2,7 +2,7 @@
 
 Keys with more than ``hot_rows`` rows are found by a partially aggregated count
 and cut into parts of consecutive times, so that windows are partitioned by
-(key, part). The other keys have the single part 0. Keys must not be null.
+(key, part). The other keys have a single part. Keys must not be null.
 """
 
 from __future__ import annotations
@@ -13,16 +13,17 @@ from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000
 # The hot-key table is broadcast, so its length is fixed. A large key beyond
-# this list keeps the single part 0; it holds at most 1/MAX_HOT_KEYS of the rows.
+# this list keeps its single part, at most 1/MAX_HOT_KEYS of the rows.
 MAX_HOT_KEYS = 10_000
 PAGE_ROWS = 1000
 
 
-def hot_keys(df: DataFrame, key: str, time: str, hot_rows: int) -> DataFrame:
-    """The largest keys: (key, rows, start, width of a part in microseconds)."""
+def hot_keys(df: DataFrame, keys: list[str], time: str, hot_rows: int) -> DataFrame:
+    """The largest keys: (keys, start, width of a part in microseconds)."""
     # The same filter that Spark infers for an inner join: one shuffle of counts
-    # then serves both joins to this table.
-    sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(
+    # then serves all joins to this table.
+    filled = df.where(F.col(keys[0]).isNotNull())
+    sizes = filled.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("size"),
         F.min(F.unix_micros(time)).alias("start"),
         F.max(F.unix_micros(time)).alias("end"),
@@ -30,31 +31,42 @@ def hot_keys(df: DataFrame, key: str, time: str, hot_rows: int) -> DataFrame:
     parts = F.ceil(F.col("size") / F.lit(hot_rows))
     return (
         sizes.where(F.col("size") > hot_rows)
-        .orderBy(F.desc("size"), key)
+        .orderBy(F.desc("size"), *keys)
         .limit(MAX_HOT_KEYS)
         .select(
-            key,
+            *keys,
             F.col("start").alias("hot_start"),
             F.ceil((F.col("end") - F.col("start") + 1) / parts).alias("hot_width"),
         )
     )
 
 
-def _with_part(df: DataFrame, key: str, time: str, hot_rows: int) -> DataFrame:
-    """Adds ``hot_width`` (null for an ordinary key) and ``part``: an earlier
-    row is never in a later part, and parts hold about ``hot_rows`` rows."""
-    hot = F.broadcast(hot_keys(df, key, time, hot_rows))
+def _place(time: str) -> Column:
+    """Number of the even time slice of its hot key that a row is in, else 0."""
     offset = F.unix_micros(time) - F.col("hot_start")
-    part = F.call_function("div", offset, F.col("hot_width"))
-    return df.join(hot, key, "left").select(
-        *df.columns, "hot_width", F.coalesce(part, F.lit(0)).alias("part")
+    return F.coalesce(F.call_function("div", offset, F.col("hot_width")), F.lit(0))
+
+
+def _with_part(df: DataFrame, key: str, time: str, hot_rows: int) -> DataFrame:
+    """Adds ``is_hot`` and ``part``: an earlier row is never in a later part.
+
+    Even time slices leave a burst in one slice, so slices that are still too
+    large are cut once more. A part is the pair of both slice numbers.
+    """
+    hot = F.broadcast(hot_keys(df, [key], time, hot_rows))
+    sliced = df.join(hot, key, "left").select(
+        *df.columns, F.col("hot_width").isNotNull().alias("is_hot"), _place(time).alias("slice")
+    )
+    crowded = hot_keys(sliced.where("is_hot"), [key, "slice"], time, hot_rows)
+    return sliced.join(F.broadcast(crowded), [key, "slice"], "left").select(
+        *df.columns, "is_hot", F.struct("slice", _place(time).alias("cut")).alias("part")
     )
 
 
 def _rows_before(marked: DataFrame, key: str, newest: bool) -> DataFrame:
     """Rows of the preceding parts, for the parts of hot keys that have any."""
     counts = (
-        marked.where(F.col("hot_width").isNotNull())
+        marked.where("is_hot")
         .groupBy(key, "part")
         .agg(F.count(F.lit(1)).alias("part_size"))
     )
@@ -115,10 +127,10 @@ def with_preceding(
         return F.collect_list(item).over(frame)
 
     marked = _with_part(df, key, time, hot_rows)
-    ordinary = marked.where(F.col("hot_width").isNull()).select(*df.columns)
+    ordinary = marked.where("NOT is_hot").select(*df.columns)
     plain = ordinary.withColumn(name, context(key, order=[time, *ties]))
 
-    hot = marked.where(F.col("hot_width").isNotNull()).select(*df.columns)
+    hot = marked.where("is_hot").select(*df.columns)
     size = max(hot_rows, count)
     index = F.col("place") - 1
     home = F.call_function("div", index, F.lit(size))

@@ -144,7 +144,7 @@ def transactions(parsed: DataFrame) -> DataFrame:
 
 def story(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """TRC-3, WIN-5: the lines of each transaction as numbered sentences. Only a
-    very long transaction has more than the one ``part`` 0."""
+    very long transaction has more than one ``part``."""
     lines = parsed.where("rrn IS NOT NULL").select(
         "rrn",
         "ts",

@@ -35,7 +35,7 @@ def same(left, right):
 
 
 def test_hot_keys(rows):
-    found = hot_keys(rows, "key", "time", 50).collect()
+    found = hot_keys(rows, ["key"], "time", 50).collect()
     assert [r.key for r in found] == ["hot"]
 
 
@@ -65,6 +65,19 @@ def test_with_preceding(rows, hot_rows):
     assert same(found, plain)
 
 
+def test_bursts_are_cut_again(spark):
+    """Nearly all rows of a key within a small share of its time span."""
+    micros = F.when(F.col("id") == 0, F.lit(10**9)).otherwise(F.col("id"))
+    rows = spark.range(1000).select(
+        "id", F.lit("k").alias("key"), F.timestamp_micros(micros).alias("time")
+    )
+    numbered = number_rows(rows, "key", "time", ["id"], "n", 50, keep_part=True)
+    largest = numbered.groupBy("part").count().agg(F.max("count")).collect()[0][0]
+    assert largest <= 100
+    found = {r.id: r.n for r in numbered.collect()}
+    assert found == {i: i if i else 1000 for i in range(1000)}
+
+
 def test_pages_are_bounded_and_whole(spark):
     rows = spark.range(25).select(F.lit("a").alias("key"), F.col("id").alias("at"))
     pages = gather_pages(with_page(rows, "at", 10), ["key"], "at", F.col("at"), "items")
