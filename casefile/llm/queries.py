@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import pieces, ranking, repetition, toxicity
+from casefile.llm import jaccard, pieces, pii, ranking, repetition, toxicity
 from casefile.llm.labelled import held_out
 from casefile.sources.tables import read_table
 
@@ -46,7 +46,16 @@ def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), digests=True)
 
 
+def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.digest(read_table(spark, folder, "documents"))
+
+
+def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.similar_components(read_table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_repetition, op3_quality_ranking, op4_toxicity, op5_pieces)
+    f.__name__: f
+    for f in (op2_repetition, op3_quality_ranking, op4_toxicity, op5_pieces, op9_pii, op10_jaccard)
 }
 ORACLE: dict[str, str] = {}
