@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import jaccard, pieces, pii, ranking, repetition, toxicity
+from casefile.llm import chatlog, jaccard, mixing, pieces, pii, pivots, ranking, repetition, sql, toxicity, urls
 from casefile.llm.labelled import held_out
 from casefile.sources.tables import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
+    return chatlog.render(read_table(spark, folder, "conversations"))
+
+
 def op2_repetition(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(read_table(spark, folder, "documents"))
 
@@ -46,6 +50,21 @@ def op5_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(docs, public_tokenizers.path(PIECE_MODEL), digests=True)
 
 
+def op6_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, folder, "documents"))
+    return mixed.select(
+        "doc_id", "source", "lang", "topic", "n_tokens", F.round("probability", 6).alias("probability"), "sampled"
+    )
+
+
+def op7_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.judge(read_table(spark, folder, "pages"), urls.rule_table(spark))
+
+
+def op8_pivots(spark: SparkSession, folder: str) -> DataFrame:
+    return pivots.near_vectors(read_table(spark, folder, "embeddings"))
+
+
 def op9_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.digest(read_table(spark, folder, "documents"))
 
@@ -56,6 +75,17 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_repetition, op3_quality_ranking, op4_toxicity, op5_pieces, op9_pii, op10_jaccard)
+    for f in (
+        op1_chat_snapshots,
+        op2_repetition,
+        op3_quality_ranking,
+        op4_toxicity,
+        op5_pieces,
+        op6_mixing,
+        op7_urls,
+        op8_pivots,
+        op9_pii,
+        op10_jaccard,
+    )
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = sql.statements()
