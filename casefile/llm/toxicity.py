@@ -34,9 +34,9 @@ from casefile.llm.labelled import held_out, sample
 GAP, MARK, OTHER, SPACE = 0, 29, 30, 31
 SPAN, DECAY = 6, 0.5
 OFFSETS = list(combinations(range(1, SPAN), 3))
-PER_CLASS = 2_500
+PER_CLASS = 1_500
 LANDMARKS = 64
-NEAR = 1.5
+NEAR = 1.0
 
 
 def _alphabet() -> tuple[np.ndarray, np.ndarray]:
@@ -147,23 +147,29 @@ def _profile(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return key >> 20, key & ((1 << 20) - 1), weight
 
 
-def _features(words: list[bytes], landmarks: np.ndarray, lookup: np.ndarray) -> np.ndarray:
-    """Kernel values of words (normalized) and landmarks."""
-    out = np.zeros((len(words), landmarks.shape[1]), np.float32)
-    for at in range(0, len(words), 5000):
-        part = words[at : at + 5000]
+def _features(words: list[bytes], landmarks: np.ndarray, lookup: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Kernel values of words and (normalized) landmarks, of the words alone that
+    are near one of the first ``near`` landmarks; and which those are."""
+    found, places = [np.zeros((0, landmarks.shape[1]), np.float32)], []
+    for at in range(0, len(words), 1000):
+        part = words[at : at + 1000]
         owner, number, weight = _profile(part)
         known = lookup[number]
         hit = np.flatnonzero(known >= 0)
-        if not len(hit):
-            continue
-        rows = landmarks[known[hit]] * weight[hit, None]
-        firsts = np.flatnonzero(np.concatenate(([True], np.diff(owner[hit]) != 0)))
-        out[at + owner[hit][firsts]] = np.add.reduceat(rows, firsts, axis=0)
-    return out
-
-
-def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, rounds: int = 700) -> Model:
+        rows = landmarks[known[hit]] * weight[hit, None].astype(np.float32)
+        firsts = np.flatnonzero(np.diff(owner[hit], prepend=-1))
+        if len(firsts):
+            sums = np.add.reduceat(rows, firsts, axis=0)
+            kept = sums[:, :near].max(axis=1) >= NEAR
+            found.append(sums[kept])
+            places.append(at + owner[hit][firsts][kept])
+    is_near = np.zeros(len(words), bool)
+    if places:
+        is_near[np.concatenate(places)] = True
+    return np.vstack(found), is_near
+
+
+def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, rounds: int = 1000) -> Model:
     """The model of labelled texts. Without both labels it finds nothing toxic."""
     labels = np.array([y for _, y in rows], np.int64)
     nothing = Model(np.zeros(1 << 20, np.float32), -1.0, 1.0, -2.0)
@@ -174,11 +180,11 @@ def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, rounds: int =
     for text, _ in rows:
         stream, _ = symbols([text])
         own = {w for w in stream.tobytes().split(bytes([SPACE])) if len(w) > 1}
-        bags.append(sorted({index.setdefault(w, len(index)) for w in sorted(own)}))
+        bags.append(np.array([index.setdefault(w, len(index)) for w in sorted(own)], np.int64))
     if not index:
         return nothing
     words = list(index)
-    member = np.concatenate([np.array(b, np.int64) for b in bags])
+    member = np.concatenate(bags)
     sizes = np.array([len(b) for b in bags])
     bag_of = np.repeat(np.arange(len(bags)), sizes)
     n1, n0 = labels.sum(), len(labels) - labels.sum()
@@ -202,13 +208,12 @@ def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, rounds: int =
     value, vector = np.linalg.eigh(kernel)
     kept = value > 1e-6 * value.max()
     whiten = (vector[:, kept] / np.sqrt(value[kept])) @ vector[:, kept].T
-    features = _features(words, table.astype(np.float32), lookup)
     # Words far from every landmark have a value near 0, which a bag always has.
-    near = features[:, : 3 * n_landmarks].max(axis=1) >= NEAR
+    features, near = _features(words, table.astype(np.float32), lookup, 3 * n_landmarks)
     place = np.cumsum(near) - 1
     sizes = np.bincount(bag_of[near[member]], minlength=len(bags))
     member = place[member[near[member]]]
-    features = features[near] @ whiten.astype(np.float32)
+    features = features @ whiten.astype(np.float32)
     theta, bias = _machine(features, member, sizes, labels, rounds)
     weights = np.zeros(1 << 20, np.float32)
     weights[used] = table @ (whiten @ theta)
