@@ -12,24 +12,15 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-# An input of at most this many splits is small enough to be shuffled for speed.
-FEW_SPLITS = 16
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Gives every core a share of a small input. A large one already has more
-    splits than that and is left alone, so nothing large is ever shuffled here."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows.rdd.getNumPartitions()
-    return rows.repartition(cores) if splits <= FEW_SPLITS and splits < cores else rows
-
-
 def stream_table(
-    spark: SparkSession, folder: str, name: str, schema: str
+    spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int = 200
 ) -> DataFrame:
-    """The same table as a stream of the files that appear under its name."""
+    """The same table as a stream: of one file, or of the part files that appear
+    in the folder of that name. The name is a glob, which both kinds match. A
+    micro-batch has at most ``files_per_batch`` files."""
     reader: DataStreamReader = spark.readStream.schema(schema)
-    return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(f"{folder.rstrip('/')}/{name}[.]parquet")
 
 
 def read_file_list(spark: SparkSession, folder: str) -> DataFrame:

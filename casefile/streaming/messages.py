@@ -2,37 +2,53 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StringType, StructType
 
-from casefile.operators.chat import accepted_messages, last_activity, touch
+from casefile.operators.chat import accepted_messages, append_status, last_activity, touch
 
 
-def without_resends(messages: DataFrame, delay: str) -> DataFrame:
-    """STM-2: keeps the first of the messages with one id. State is bounded: an
-    id is forgotten ``delay`` after its time has passed. Spark skips messages
-    that are later than that; where they occur, append all and read ``distinct``.
-    """
-    marked = messages.withWatermark("created_at", delay)
-    return marked.dropDuplicatesWithinWatermark(["id"])
+def _stored_before(batch: DataFrame, folder: str, batch_id: int) -> DataFrame:
+    """Ids of the messages of earlier batches, in the batch's span of time: a
+    message that is sent again has the same time, so other files are pruned."""
+    spark = batch.sparkSession
+    span = batch.agg(F.min("created_at").alias("low"), F.max("created_at").alias("high")).first()
+    earlier = spark.read.schema("id string, created_at timestamp, batch_id bigint").option(
+        "basePath", f"{folder}/messages"
+    )
+    stored = earlier.parquet(f"{folder}/messages/batch_id=*") if batch_id else spark.createDataFrame([], "id string, created_at timestamp, batch_id bigint")
+    within = F.col("created_at").between(F.lit(span["low"]), F.lit(span["high"]))
+    return stored.where(within & (F.col("batch_id") < batch_id)).select("id")
 
 
 def append_messages(
-    incoming: DataFrame, heads: DataFrame, folder: str
+    incoming: DataFrame, heads: DataFrame | Callable[[], DataFrame], folder: str
 ) -> StreamingQuery:
-    """STM-1: validates incoming messages, appends the accepted ones and records
-    which conversations they touch.
+    """STM-1, STM-2: validates incoming messages, appends the accepted ones that
+    are not stored yet, and records which conversations they touch and which
+    messages were rejected.
 
-    A micro-batch writes only its own ``batch_id`` folders and overwrites them,
-    so that a repeated batch changes nothing. Touches are a small log next to
-    the messages; the conversation table is not rewritten per batch.
+    A message is dropped only if its id is stored already, however late it comes.
+    A function as ``heads`` is called for every batch, so conversations that were
+    created meanwhile count. A micro-batch writes only its own ``batch_id``
+    folders and overwrites them, so that a repeated batch changes nothing.
+    Touches are a small log next to the messages; the conversation table is not
+    rewritten per batch.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        accepted = accepted_messages(batch, heads)
+        known = heads() if callable(heads) else heads
+        judged = append_status(batch, known)
+        rejected = judged.where("status <> 201")
+        rejected.write.mode("overwrite").parquet(f"{folder}/rejects/batch_id={batch_id}")
+        accepted = accepted_messages(batch, known)
+        fresh = accepted.dropDuplicates(["id"]).join(_stored_before(batch, folder, batch_id), "id", "left_anti")
         target = f"{folder}/messages/batch_id={batch_id}"
-        accepted.write.mode("overwrite").parquet(target)
+        fresh.select(accepted.columns).write.mode("overwrite").parquet(target)
         stored = batch.sparkSession.read.schema(accepted.schema).parquet(target)
         log = f"{folder}/touches/batch_id={batch_id}"
         last_activity(stored).write.mode("overwrite").parquet(log)
@@ -41,13 +57,15 @@ def append_messages(
     return writer.option("checkpointLocation", f"{folder}/progress").start()
 
 
-def read_appended(
-    spark: SparkSession, folder: str, schema: StructType, distinct: bool = False
-) -> DataFrame:
-    """All messages that the stream has appended; ``distinct`` drops re-sent ones
-    however late they came."""
-    rows = spark.read.schema(schema).parquet(f"{folder}/messages/batch_id=*")
-    return rows.dropDuplicates(["id"]) if distinct else rows
+def read_rejected(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """The rejected messages with their status and detail."""
+    judged = StructType(list(schema.fields)).add("status", IntegerType()).add("detail", StringType())
+    return spark.read.schema(judged).parquet(f"{folder}/rejects/batch_id=*")
+
+
+def read_appended(spark: SparkSession, folder: str, schema: StructType) -> DataFrame:
+    """All messages that the stream has appended."""
+    return spark.read.schema(schema).parquet(f"{folder}/messages/batch_id=*")
 
 
 def read_touched(spark: SparkSession, folder: str, heads: DataFrame) -> DataFrame:

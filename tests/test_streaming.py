@@ -7,12 +7,13 @@ import pathlib
 import shutil
 
 import pytest
+from pyspark.sql import functions as F
 
 from casefile.operators import chat, trace
 from casefile.schemas import CONVERSATION_TURN, EVENT
 from casefile.session import work_dir
 from casefile.sources import views
-from casefile.sources.tables import read_table
+from casefile.sources.tables import read_table, stream_table
 from casefile.streaming import messages, pairing
 
 FOLDER = "/root/testdata/sf0.001"
@@ -73,10 +74,7 @@ def test_resends_are_dropped_across_batches(spark, turns, tmp_path):
     reader = reader.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
     incoming = views.incoming_messages(reader.parquet(source))
     heads = views.conv_heads(turns)
-    query = messages.append_messages(
-        messages.without_resends(incoming, "1 day"), heads, target
-    )
-    query.awaitTermination()
+    messages.append_messages(incoming, heads, target).awaitTermination()
     expected = chat.accepted_messages(views.incoming_messages(turns), heads)
     appended = messages.read_appended(spark, target, expected.schema)
     assert rows_of(appended, "id") == rows_of(expected, "id")
@@ -107,20 +105,38 @@ def test_pairing_in_batches(spark, tmp_path, in_order):
     assert closed.count() > 0
 
 
-def test_late_resends_are_dropped_when_reading(spark, turns, tmp_path):
+def test_late_first_messages_and_rejects_are_kept(spark, turns, tmp_path):
+    """Batches a day apart, the newest first: nothing is too late to be stored."""
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    for name in ("a", "b"):
-        many_files(spark, "conversations", f"{source}/{name}", "conv_id", files=1)
-    reader = spark.readStream.schema(CONVERSATION_TURN)
-    reader = reader.option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-    incoming = views.incoming_messages(reader.parquet(source))
+    top = turns.agg({"conv_id": "max"}).first()[0]
+    for place, low in enumerate((2 * top // 3, top // 3, -1)):
+        high = (top, 2 * top // 3, top // 3)[place]
+        part = turns.where(f"conv_id > {low} AND conv_id <= {high}").coalesce(1)
+        part.write.mode("append").parquet(f"{source}/conversations.parquet")
+        for file in pathlib.Path(f"{source}/conversations.parquet").glob("*.parquet"):
+            if file.stat().st_mtime > 1_800_000_000 or place == 0:
+                os.utime(file, (1_700_000_000 + place, 1_700_000_000 + place))
+    incoming = views.incoming_messages(stream_table(spark, source, "conversations", CONVERSATION_TURN, 1))
+    start = F.unix_micros(F.lit(views.EPOCH).cast("timestamp"))
+    apart = F.timestamp_micros(start + (F.unix_micros("created_at") - start) * 1440)
+    spread_out = incoming.withColumn("created_at", apart)
     heads = views.conv_heads(turns)
-    messages.append_messages(incoming, heads, target).awaitTermination()
-    expected = chat.accepted_messages(views.incoming_messages(turns), heads)
-    appended = messages.read_appended(spark, target, expected.schema)
-    assert appended.count() == 2 * expected.count()
-    once = messages.read_appended(spark, target, expected.schema, distinct=True)
-    assert rows_of(once, "id") == rows_of(expected, "id")
+    messages.append_messages(spread_out, lambda: heads, target).awaitTermination()
+    batch = chat.append_status(views.incoming_messages(turns), heads)
+    appended = messages.read_appended(spark, target, chat.accepted_messages(views.incoming_messages(turns), heads).schema)
+    assert rows_of(appended, "id") == rows_of(batch.where("status = 201"), "id")
+    rejected = messages.read_rejected(spark, target, views.incoming_messages(turns).schema)
+    assert rows_of(rejected, "id", "status") == rows_of(batch.where("status <> 201"), "id", "status")
+    assert appended.count() + rejected.count() == turns.count()
+
+
+def test_streams_read_part_files(spark, turns, tmp_path):
+    turns.repartition(4).write.parquet(str(tmp_path / "conversations.parquet"))
+    for folder in (str(tmp_path), FOLDER):
+        rows = stream_table(spark, folder, "conversations", CONVERSATION_TURN)
+        query = rows.writeStream.format("memory").queryName("parts").trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert spark.table("parts").count() == turns.count()
 
 
 def test_work_dir_follows_the_session(spark, shared_folder):
