@@ -22,3 +22,9 @@ def stable_id(*parts: Column) -> Column:
     """STR-7: an id computed from the row, so that a retried task repeats it."""
     texts = [F.coalesce(p.cast("string"), F.lit("")) for p in parts]
     return F.substring(F.sha2(F.concat_ws("|", *texts), 256), 1, 24)
+
+
+def message_id(conversation: Column, turn: Column) -> Column:
+    """24 hex digits: 16 of the conversation's number, 8 of the turn."""
+    parts = [F.lpad(F.lower(F.hex(c)), n, "0") for c, n in ((conversation, 16), (turn, 8))]
+    return F.concat(*parts)

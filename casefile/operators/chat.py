@@ -196,9 +196,10 @@ def touch(heads: DataFrame, activity: DataFrame) -> DataFrame:
     )
 
 
-def latest_value(changes: DataFrame, key: str, value: str, order: str) -> DataFrame:
-    """MAP-1: the last value written to each key."""
-    return changes.groupBy(key).agg(F.max_by(value, order).alias(value))
+def latest_value(changes: DataFrame, key: str, value: str, *order: str) -> DataFrame:
+    """MAP-1: the last value written to each key; later columns of ``order`` break
+    ties of the earlier ones."""
+    return changes.groupBy(key).agg(F.max_by(value, F.struct(*order)).alias(value))
 
 
 def without_conversation(heads: DataFrame, conversation_id: str) -> DataFrame:

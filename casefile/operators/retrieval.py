@@ -41,11 +41,12 @@ def lexical_scores(
 ) -> DataFrame:
     """RET-1: BM25 of every (question, document) pair that shares a token.
 
-    The documents are tokenized and shuffled once, by id. Corpus averages, token
-    counts, document frequencies and the sums per (question, document) all come
-    from that one shuffle: the query tokens join as a broadcast whose length is
-    checked. ``explode_outer``, because a plain explode makes Spark filter on the
-    array's size before the shuffle, which tokenizes once more.
+    A document's tokens are cut to those of the questions, by a broadcast whose
+    length is checked, and counted before the shuffle by document, so only matched
+    (document, token, count) rows move. Document frequencies and the sums per
+    (question, document) reuse that shuffle; the corpus averages take a pass of
+    their own without one. ``explode_outer``, because a plain explode makes Spark
+    filter on the array's size, which tokenizes once more.
     """
     asked = questions.select(
         query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")
@@ -56,7 +57,7 @@ def lexical_scores(
 
     vocabulary = small(asked.select("token").distinct())
     words = documents.select(item, tokens(F.col("text")).alias("words"))
-    corpus = words.repartition(item).select(item, "words", F.size("words").alias("n_words"))
+    corpus = words.select(item, "words", F.size("words").alias("n_words"))
     counts = (
         corpus.select(item, "n_words", F.explode_outer("words").alias("token"))
         .join(vocabulary, "token", "left_semi")

@@ -83,40 +83,46 @@ def parse_trace(lines: DataFrame) -> DataFrame:
 
 
 def _first(kind: str, *values: str) -> Column:
-    """Time and values of the earliest line of a kind."""
-    entry = F.struct(F.col("ts"), *[F.col(v) for v in values])
+    """Time and values of the earliest line of a kind; of undated lines only if
+    there is no dated one."""
+    entry = F.struct(F.col("ts").isNull().alias("undated"), F.col("ts"), *[F.col(v) for v in values])
     return F.min(F.when(F.col("kind") == kind, entry))
 
 
+def _reply(kind: str, begin: str, *values: str) -> Column:
+    """Time and values of the earliest dated line of a kind that is not before
+    ``begin``; without a dated beginning, of the earliest dated one."""
+    entry = F.struct(F.col("ts"), *[F.col(v) for v in values])
+    belongs = F.coalesce(F.col("ts") >= F.col(begin), F.col(begin).isNull() & F.col("ts").isNotNull())
+    return F.min(F.when((F.col("kind") == kind) & belongs, entry))
+
+
 def transactions(parsed: DataFrame) -> DataFrame:
     """TRC-2, JON-6, AGG-8, AGG-9: one card per FLD 037.
 
-    Request, response and reversal are paired by one partially aggregated
-    group-by rather than by self-joins, so a transaction with very many lines
-    shrinks before the shuffle. A response or reversal before the request does
-    not belong to it.
+    The request of each number is found first, by a partially aggregated
+    group-by, and joined to the lines, where Spark can split a number with very
+    many lines; then the earliest reply that is not before it counts. Undated
+    lines pair with nothing and are counted.
     """
-    grouped = (
-        parsed.where("rrn IS NOT NULL")
+    lines = parsed.where("rrn IS NOT NULL")
+    requests = (
+        lines.where(F.col("kind") == REQUEST)
+        .groupBy("rrn")
+        .agg(_first(REQUEST, "card", "processing_code").alias("request"))
+        .select("rrn", "request", F.col("request.ts").alias("request_ts"))
+    )
+    paired = (
+        lines.join(requests, "rrn", "left")
         .groupBy("rrn")
         .agg(
-            _first(REQUEST, "card", "processing_code").alias("request"),
-            _first(RESPONSE, "response_code").alias("response"),
-            _first(REVERSAL, "response_code").alias("reversal"),
-            F.max(F.when(F.col("hsm_return") != APPROVED, 1).otherwise(0)).alias(
-                "hsm_failed"
-            ),
+            F.first("request", ignorenulls=True).alias("request"),
+            _reply(RESPONSE, "request_ts", "response_code").alias("response"),
+            _reply(REVERSAL, "request_ts", "response_code").alias("reversal"),
+            F.max(F.when(F.col("hsm_return") != APPROVED, 1).otherwise(0)).alias("hsm_failed"),
             F.count(F.lit(1)).alias("n_lines"),
         )
     )
-
-    def following(reply: str) -> Column:
-        belongs = F.col(f"{reply}.ts") >= F.col("request.ts")
-        return F.when(belongs | F.col("request").isNull(), F.col(reply))
-
-    paired = grouped.withColumns(
-        {"response": following("response"), "reversal": following("reversal")}
-    )
     status = (
         F.when(
             F.col("reversal").isNotNull()
@@ -166,13 +172,27 @@ def story(parsed: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def hsm_exchanges(parsed: DataFrame) -> DataFrame:
-    """TRC-4, JON-7: each command with its reply, if any."""
+    """TRC-4, JON-7: each command with its reply, if any. A dated reply before the
+    command is none; an undated one counts where no dated one does."""
     hsm = parsed.where(F.col("kind").isin(COMMAND, REPLY) & F.col("rrn").isNotNull())
-    grouped = hsm.groupBy("rrn", "xid").agg(
-        _first(COMMAND, "hsm_code").alias("command"),
-        _first(REPLY, "hsm_code", "hsm_return").alias("reply"),
+    hsm = hsm.select("rrn", F.coalesce("xid", F.lit("")).alias("xid"), "kind", "ts", "hsm_code", "hsm_return")
+    commands = (
+        hsm.where(F.col("kind") == COMMAND)
+        .groupBy("rrn", "xid")
+        .agg(_first(COMMAND, "hsm_code").alias("command"))
+        .select("rrn", "xid", "command", F.col("command.ts").alias("command_ts"))
+    )
+    undated = F.struct(F.lit(None).cast("timestamp").alias("ts"), F.col("hsm_code"), F.col("hsm_return"))
+    grouped = (
+        commands.join(hsm.where(F.col("kind") == REPLY).drop("command"), ["rrn", "xid"], "left")
+        .groupBy("rrn", "xid", "command")
+        .agg(
+            _reply(REPLY, "command_ts", "hsm_code", "hsm_return").alias("dated"),
+            F.min(F.when((F.col("kind") == REPLY) & F.col("ts").isNull(), undated)).alias("undated"),
+        )
+        .withColumn("reply", F.coalesce("dated", "undated"))
     )
-    return grouped.where("command IS NOT NULL").select(
+    return grouped.select(
         "rrn",
         "xid",
         F.col("command.hsm_code").alias("command"),
@@ -180,6 +200,7 @@ def hsm_exchanges(parsed: DataFrame) -> DataFrame:
         F.col("reply.hsm_code").alias("reply"),
         F.col("reply.ts").alias("reply_ts"),
         F.col("reply.hsm_return").alias("hsm_return"),
+        F.col("reply").isNotNull().alias("replied"),
     )
 
 
@@ -208,7 +229,7 @@ def card_rules() -> Column:
 def exchange_rules() -> Column:
     """TRC-7, over a security-module exchange."""
     failed = F.col("hsm_return") != APPROVED
-    return _found(R3=F.col("reply_ts").isNull(), R4=failed)
+    return _found(R3=~F.col("replied"), R4=failed)
 
 
 def inconsistencies(cards: DataFrame, exchanges: DataFrame) -> DataFrame:

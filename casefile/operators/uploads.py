@@ -56,13 +56,14 @@ def accepted_files(uploads: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """
     bad = F.max(F.when(upload_error(F.col("filename")).isNotNull(), 1).otherwise(0))
     batches = uploads.groupBy("request_id").agg(
-        bad.alias("bad"), F.max("ordinal").alias("last")
+        bad.alias("bad"), F.coalesce(F.max("ordinal"), F.lit(0)).alias("last")
     )
     last_page = F.call_function("div", F.col("last"), F.lit(page_rows))
     failed = batches.where("bad = 1").select(
         "request_id", F.explode(F.sequence(F.lit(0).cast("bigint"), last_page)).alias("page")
     )
-    paged = with_page(uploads, "ordinal", page_rows)
+    # A file without a place counts to the first page, so a bad batch takes it too.
+    paged = with_page(uploads, "ordinal", page_rows).withColumn("page", F.coalesce("page", F.lit(0).cast("bigint")))
     return paged.join(failed, ["request_id", "page"], "left_anti")
 
 
@@ -78,9 +79,11 @@ def attachment_lists(accepted: DataFrame, removed_position: Column) -> DataFrame
     item = F.struct(
         F.col("filename").alias("name"), "size", F.col("content_type").alias("type")
     )
-    kept = accepted.where(F.col("ordinal") != removed_position)
-    lists = gather_pages(kept, ["request_id"], "ordinal", item, "attachments")
-    return lists.drop("first")
+    # Left out of the array and not of the rows: a batch whose only file is
+    # removed keeps an empty list.
+    removed = F.col("ordinal").eqNullSafe(removed_position)
+    lists = gather_pages(accepted, ["request_id"], "ordinal", F.when(~removed, item), "attachments")
+    return lists.drop("first").withColumn("attachments", F.array_compact("attachments"))
 
 
 def without_position(items: Column, position: int | Column) -> Column:

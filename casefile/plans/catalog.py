@@ -16,18 +16,12 @@ from casefile.operators import answers, chat, documents, retrieval, trace, uploa
 from casefile.schemas import CONVERSATION_TURN, EVENT
 from casefile.session import work_dir
 from casefile.sources import views
-from casefile.sources.tables import (
-    read_file_list,
-    read_table,
-    spread,
-    stream_table,
-)
+from casefile.sources.tables import read_table, stream_table
 from casefile.streaming import messages as message_stream
 from casefile.streaming import pairing
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-RESEND_DELAY = "1 day"
 PAIR_WITHIN = "10 seconds"
 PAIR_DELAY = "1 minute"
 
@@ -61,7 +55,7 @@ def _incoming(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(read_table(spark, folder, "documents"))
+    return read_table(spark, folder, "documents")
 
 
 def _uploads(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,8 +72,7 @@ def _answers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _parsed(spark: SparkSession, folder: str) -> DataFrame:
-    events = spread(read_table(spark, folder, "events"))
-    return trace.parse_trace(views.trace_lines(events))
+    return trace.parse_trace(views.trace_lines(read_table(spark, folder, "events")))
 
 
 def _trace_issues(parsed: DataFrame) -> DataFrame:
@@ -139,7 +132,7 @@ def message_groups(spark: SparkSession, folder: str) -> DataFrame:
     shown = chat.append_local(groups, notice)
     text = F.transform(
         "messages",
-        lambda m: F.concat_ws(":", m["role"], F.substring(m["content"], 1, 20)),
+        lambda m: F.concat_ws(":", m["role"], m["content"]),
     )
     return shown.select(
         "conversation_id",
@@ -189,8 +182,7 @@ def agent_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def latest_roles(spark: SparkSession, folder: str) -> DataFrame:
-    changes = _messages(spark, folder).select("conversation_id", "role", "created_at")
-    return chat.latest_value(changes, "conversation_id", "role", "created_at")
+    return chat.latest_value(_messages(spark, folder), "conversation_id", "role", "created_at", "id")
 
 
 def conversation_memory(spark: SparkSession, folder: str) -> DataFrame:
@@ -206,9 +198,9 @@ def question_intent(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def question_summary(spark: SparkSession, folder: str) -> DataFrame:
-    created = views.new_conversations(_turns(spark, folder))
-    summary = trace.agent_summary(F.col("agent"), F.col("title"))
-    return created.select("conv_id", "agent", summary.alias("summary"))
+    asked = views.questions(_turns(spark, folder))
+    summary = trace.agent_summary(F.col("agent"), F.col("question"))
+    return asked.select("conv_id", "agent", summary.alias("summary"))
 
 
 # Uploads
@@ -235,8 +227,11 @@ def upload_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumn("files", F.array_join(files, "|"))
 
 
-def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    return read_file_list(spark, folder).select("filename", "size")
+def document_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    """AGG-1 over stored texts: their size in bytes."""
+    return _documents(spark, folder).select(
+        "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("size")
+    )
 
 
 def attachment_lists(spark: SparkSession, folder: str) -> DataFrame:
@@ -318,7 +313,7 @@ def trace_story(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hsm_exchanges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _times_as_text(trace.hsm_exchanges(_parsed(spark, folder)))
+    rows = _times_as_text(trace.hsm_exchanges(_parsed(spark, folder)).drop("replied"))
     return _filled(rows, "reply", "reply_ts", "hsm_return")
 
 
@@ -376,7 +371,7 @@ def structured_answer(spark: SparkSession, folder: str) -> DataFrame:
 
 def content_units(spark: SparkSession, folder: str) -> DataFrame:
     texts = documents.text_units(_documents(spark, folder))
-    html = documents.page_units(spread(read_table(spark, folder, "pages")))
+    html = documents.page_units(read_table(spark, folder, "pages"))
     return texts.withColumn("kind", F.lit("document")).unionByName(
         html.withColumn("kind", F.lit("page"))
     )
@@ -436,18 +431,15 @@ def anomaly_evidence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_message_append(spark: SparkSession, folder: str) -> DataFrame:
-    """Every message is sent twice. All files present make up one micro-batch,
-    for which no row can be late."""
+    """Every message is sent twice; it is stored once."""
 
     def incoming() -> DataFrame:
         turns = stream_table(spark, folder, "conversations", CONVERSATION_TURN)
         return views.incoming_messages(turns)
 
-    sent = message_stream.without_resends(
-        incoming().unionByName(incoming()), RESEND_DELAY
-    )
+    sent = incoming().unionByName(incoming())
     target = work_dir(spark, "append")
-    query = message_stream.append_messages(sent, _heads(spark, folder), target)
+    query = message_stream.append_messages(sent, lambda: _heads(spark, folder), target)
     query.awaitTermination()
     schema = _incoming(spark, folder).schema
     rows = message_stream.read_appended(spark, target, schema)
@@ -476,7 +468,7 @@ def stream_trace_pairing(spark: SparkSession, folder: str) -> DataFrame:
     target = work_dir(spark, "pairs")
     pairing.run_pairing(paired, target).awaitTermination()
     rows = pairing.reconcile(spark, target, _parsed(spark, folder), PAIR_WITHIN)
-    shown = _times_as_text(rows.select("rrn", "request_ts", "reversal_ts"))
+    shown = _times_as_text(rows.select("rrn", "request_ts", "reversal_ts", "found"))
     return _filled(shown, "reversal_ts")
 
 
@@ -500,7 +492,7 @@ QUERIES: tuple[Query, ...] = (
     upload_file_errors,
     upload_batch_status,
     upload_manifest,
-    file_manifest,
+    document_sizes,
     attachment_lists,
     upload_size_split,
     upload_size_messages,

@@ -43,7 +43,7 @@ _SHUT = r"(?:[^\p{L}\p{N}]|$)"
 
 VIEWS = {
     "msg": f"""
-        SELECT conv_id, turn, {_hex("conv_id * 1000 + turn")} AS id,
+        SELECT conv_id, turn, lpad(lower(hex(conv_id)), 16, '0') || lpad(lower(hex(turn)), 8, '0') AS id,
                {_hex("conv_id")} AS conversation_id, role, text AS content,
                TIMESTAMP '2024-01-01' + to_seconds(conv_id * 60 + turn) AS created_at
         FROM conversations""",
@@ -113,16 +113,16 @@ VIEWS = {
         SELECT request_id, arg_min(error, ordinal) AS error FROM checked
         WHERE error <> '' GROUP BY request_id""",
     "answer": """
-        SELECT doc_id, substr(text, 1, 60) AS summary,
+        SELECT doc_id, text AS summary,
                CASE WHEN doc_id % 11 = 0 OR doc_id % 7 = 0 THEN []
-                    ELSE string_split(text, chr(10))[1:3] END AS story,
+                    ELSE string_split(text, chr(10)) END AS story,
                ([  'info', 'warning', 'error', 'critical'])[doc_id % 4 + 1] AS severity,
                'issue ' || doc_id AS title,
                CASE WHEN doc_id % 2 = 0 THEN 'detail ' || doc_id ELSE '' END AS detail,
                source, CASE WHEN doc_id % 3 = 0 THEN '' ELSE CAST(doc_id % 90 AS VARCHAR) END AS page
         FROM documents WHERE doc_id % 50 <> 49""",
     "tx": """
-        SELECT event_id, ts, lpad(CAST(event_id AS VARCHAR), 12, '0') AS rrn,
+        SELECT event_id, ts, lpad(CAST(event_id AS VARCHAR), 19, '0') AS rrn, event_id % 16 = 5 AS stray,
                '400000******' || right(lpad(CAST(user_id AS VARCHAR), 12, '0'), 4) AS card,
                (event_id * 37) % 4000 AS lat,
                CASE WHEN event_type = 'error' THEN 'rev'
@@ -137,7 +137,7 @@ VIEWS = {
                CASE WHEN path = 'rev' AND event_id % 2 = 0 THEN '00' ELSE '' END AS rev_code,
                CASE WHEN path IN ('rev', 'decl') OR (replied AND rc <> '00') THEN 'ERROR'
                     WHEN path = 'lone' THEN 'UNKNOWN' ELSE 'OK' END AS status,
-               1 + (path <> 'lone')::BIGINT + (path = 'rev')::BIGINT + asked::BIGINT + replied::BIGINT AS n_lines
+               1 + stray::BIGINT + (path <> 'lone')::BIGINT + (path = 'rev')::BIGINT + asked::BIGINT + replied::BIGINT AS n_lines
         FROM tx""",
     "entry": """
         SELECT rrn, ts AS moment, 0 AS rank, '0100' AS kind, card, '000000' AS proc, '' AS code,
@@ -154,7 +154,10 @@ VIEWS = {
                'Security module returned ' || rc || '.' FROM card WHERE replied
         UNION ALL
         SELECT rrn, ts + to_milliseconds(5000), 4, '0400', '', '', rev_code, '', '', '', 'reverse',
-               'The authorization was reversed (MTI 0400).' FROM card WHERE path = 'rev'""",
+               'The authorization was reversed (MTI 0400).' FROM card WHERE path = 'rev'
+        UNION ALL
+        SELECT rrn, ts - INTERVAL 1 SECOND, 1, '0110', '', '', '05', '', '', '', 'respond',
+               'The issuer answered with response code 05.' FROM card WHERE stray""",
     "broken": """
         SELECT rrn, '' AS xid, 'R1' AS rule, 'error' AS severity,
                'Missing DE-39 in reversal message' AS title,
@@ -257,8 +260,8 @@ QUERIES = {
               FROM msg) WHERE position <= 500""",
     "message_groups": """
         SELECT conversation_id, count(*) + 1 AS n_messages,
-               string_agg(role || ':' || substr(content, 1, 20), '|' ORDER BY created_at, id)
-               || '|assistant:The backend request ' AS messages
+               string_agg(role || ':' || content, '|' ORDER BY created_at, id)
+               || '|assistant:The backend request failed.' AS messages
         FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY created_at, id) AS position
               FROM msg) WHERE position <= 500 GROUP BY conversation_id""",
     "message_append_status": """
@@ -323,11 +326,13 @@ QUERIES = {
                     ELSE 'concept' END AS intent
         FROM (SELECT id, conversation_id, {_trim("content")} AS question FROM msg WHERE role = 'user')
         WHERE length(question) > 0""",
-    "question_summary": """
-        SELECT conv_id, agent,
-               CASE agent WHEN 'log' THEN 'Analyzed the provided trace.'
-                    ELSE 'Reviewed the available documentation to answer: "' || title || '".' END AS summary
-        FROM creation""",
+    "question_summary": f"""
+        SELECT conv_id, {_item("conv_id", "documentation", "log")} AS agent,
+               CASE conv_id % 2 WHEN 1 THEN 'Analyzed the provided trace.'
+                    ELSE 'Reviewed the available documentation to answer: "' || text || '".' END AS summary
+        FROM conversations WHERE turn = 0""",
+    "document_sizes": """
+        SELECT doc_id, CAST(coalesce(strlen(text), 0) AS BIGINT) AS size FROM documents""",
     "upload_file_errors": """
         SELECT request_id, ordinal, filename,
                CASE WHEN doc_id % 20 = 0 THEN '.'
@@ -347,9 +352,9 @@ QUERIES = {
         GROUP BY request_id, agent""",
     "attachment_lists": """
         SELECT request_id, 0::BIGINT AS page,
-               string_agg(filename || ':' || size || ':' || content_type, '|' ORDER BY ordinal) AS attachments
+               coalesce(string_agg(CASE WHEN ordinal <> request_id % 3
+                                        THEN filename || ':' || size || ':' || content_type END, '|' ORDER BY ordinal), '') AS attachments
         FROM upload WHERE request_id NOT IN (SELECT request_id FROM failed)
-          AND ordinal <> request_id % 3
         GROUP BY request_id""",
     "upload_size_split": """
         SELECT request_id, ordinal, size,
@@ -500,7 +505,8 @@ QUERIES = {
         GROUP BY h.id, h.created_at""",
     "stream_trace_pairing": f"""
         SELECT rrn, {_text("ts")} AS request_ts,
-               CASE path WHEN 'rev' THEN {_text("ts + to_milliseconds(5000)")} ELSE '' END AS reversal_ts
+               CASE path WHEN 'rev' THEN {_text("ts + to_milliseconds(5000)")} ELSE '' END AS reversal_ts,
+               CASE path WHEN 'rev' THEN 'stream' ELSE 'none' END AS found
         FROM card""",
 }
 

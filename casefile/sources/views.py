@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.functions.ids import hex_id
+from casefile.functions.ids import hex_id, message_id
 from casefile.functions.text import auto_title, time_text
 
 EPOCH = "2024-01-01 00:00:00"
 UNKNOWN_ID_OFFSET = 10_000_000
+# Holds every bigint, so no two events share a number.
+RRN_DIGITS = 19
 
 
 def _pick(number: Column, *choices: str) -> Column:
@@ -22,7 +24,7 @@ def conv_messages(turns: DataFrame) -> DataFrame:
     seconds = F.col("conv_id") * 60 + F.col("turn")
     interval = F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
     return turns.select(
-        hex_id(F.col("conv_id") * 1000 + F.col("turn")).alias("id"),
+        message_id(F.col("conv_id"), F.col("turn")).alias("id"),
         hex_id(F.col("conv_id")).alias("conversation_id"),
         "role",
         F.col("text").alias("content"),
@@ -105,6 +107,12 @@ def new_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
+def questions(turns: DataFrame) -> DataFrame:
+    """The first turn of every conversation as a question to its agent."""
+    agent = _pick(F.col("conv_id"), "documentation", "log")
+    return turns.where("turn = 0").select("conv_id", agent.alias("agent"), F.col("text").alias("question"))
+
+
 def uploads(documents: DataFrame) -> DataFrame:
     doc = F.col("doc_id")
     case = doc % 20
@@ -135,7 +143,7 @@ def answers(documents: DataFrame) -> DataFrame:
     story = (
         F.when(doc % 11 == 0, F.lit(None))
         .when(doc % 7 == 0, F.array().cast("array<string>"))
-        .otherwise(F.slice(F.split("text", "\n"), 1, 3))
+        .otherwise(F.split("text", "\n"))
     )
     issue = F.struct(
         _pick(doc, "info", "warning", "error", "critical").alias("severity"),
@@ -149,7 +157,7 @@ def answers(documents: DataFrame) -> DataFrame:
     )
     body = F.to_json(
         F.struct(
-            F.substring("text", 1, 60).alias("summary"),
+            F.col("text").alias("summary"),
             story.alias("story"),
             F.array(issue).alias("issues"),
             F.array(reference).alias("references"),
@@ -165,7 +173,7 @@ def trace_lines(events: DataFrame) -> DataFrame:
     """The payment trace, one text line per row."""
     event = F.col("event_id")
     ts = F.col("ts").cast("timestamp")
-    rrn = F.concat(F.lit("FLD(037)="), F.lpad(event.cast("string"), 12, "0"))
+    rrn = F.concat(F.lit("FLD(037)="), F.lpad(event.cast("string"), RRN_DIGITS, "0"))
 
     def after(millis: Column | int) -> Column:
         value = F.lit(millis) if isinstance(millis, int) else millis
@@ -194,7 +202,10 @@ def trace_lines(events: DataFrame) -> DataFrame:
     command = line(after(2), "HSM> cmd=CA xid=1 ", rrn)
     result = F.when(event % 28 == 0, F.lit("15")).otherwise(F.lit("00"))
     reply = line(after(3), "HSM< rsp=CB xid=1 rc=", result, F.lit(" "), rrn)
+    # A stray line of an earlier exchange under the same number.
+    early = line(after(-1000), "MTI=0110 ", rrn, " FLD(039)=05")
     lines = F.array(
+        F.when(event % 16 == 5, early),
         request,
         F.when(path != "lone", response),
         F.when(path == "rev", reversal),

@@ -7,20 +7,18 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from casefile.plans import catalog, oracle
 from tests.compare import TESTDATA, canonical, sql_rows
 
 FOLDER = TESTDATA / os.environ.get("TEST_SF", "sf0.001")
 
 
-@pytest.mark.parametrize("name", driver.queries())
+@pytest.mark.parametrize("name", catalog.registered())
 def test_matches_sql(spark, name):
-    result = driver.queries()[name](spark, str(FOLDER))
+    result = catalog.registered()[name](spark, str(FOLDER))
     rows = result.collect()
     assert rows
-    sql = driver.oracle_sql().get(name)
-    if sql is None:
-        assert name == "file_manifest"
-        return
+    sql = oracle.statements()[name]
     columns, expected = sql_rows(sql, FOLDER)
     assert sorted(columns) == sorted(result.columns)
     assert canonical(result.columns, rows) == canonical(columns, expected)
