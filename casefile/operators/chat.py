@@ -116,6 +116,17 @@ def creation_status(requests: DataFrame) -> DataFrame:
     )
 
 
+def chat_request_status(requests: DataFrame) -> DataFrame:
+    """FIL-5, FIL-6: 422 for an agent that is none of the catalog's or a question
+    without a character, with the field at fault; else 200."""
+    agent = F.coalesce(F.col("agent").isin(*[a[0] for a in AGENTS]), F.lit(False))
+    question = F.coalesce(F.length("question") >= 1, F.lit(False))
+    fault = F.when(~agent, F.lit("agent")).when(~question, F.lit("question")).otherwise(F.lit(""))
+    return requests.withColumn("fault", fault).withColumn(
+        "status", F.when(F.col("fault") == "", F.lit(200)).otherwise(F.lit(422))
+    )
+
+
 def created_conversations(requests: DataFrame) -> DataFrame:
     """SNK-1: the rows to append."""
     accepted = creation_status(requests).where("status = 201")

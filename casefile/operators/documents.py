@@ -169,6 +169,26 @@ def memory_state(
     )
 
 
+def resolved_questions(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """RET-4: each non-blank user message, a follow-up with the user message before
+    it in its conversation, on a line of its own; ``resolved`` stands alone."""
+    asked = messages.where((F.col("role") == "user") & is_not_blank(F.col("content"))).select(
+        "id",
+        "conversation_id",
+        "created_at",
+        js_trim(F.col("content")).alias("question"),
+        question_intent(F.col("content")).alias("intent"),
+    )
+    known = with_preceding(
+        asked, "conversation_id", "created_at", ["id"], F.col("question"), 1, "previous", hot_rows
+    )
+    depends = (F.col("intent") == "follow_up") & (F.size("previous") > 0)
+    resolved = F.when(depends, F.concat_ws("\n", F.get("previous", 0), "question"))
+    return known.select(
+        "id", "conversation_id", "intent", F.coalesce(resolved, "question").alias("resolved")
+    )
+
+
 def question_intents(messages: DataFrame) -> DataFrame:
     """RET-4, FIL-7, STR-1: the intent of each non-blank user message."""
     questions = messages.where((F.col("role") == "user") & is_not_blank(F.col("content")))

@@ -197,6 +197,17 @@ def question_intent(spark: SparkSession, folder: str) -> DataFrame:
     return documents.question_intents(_messages(spark, folder))
 
 
+def resolved_question(spark: SparkSession, folder: str) -> DataFrame:
+    return documents.resolved_questions(_messages(spark, folder))
+
+
+def chat_request_status(spark: SparkSession, folder: str) -> DataFrame:
+    requests = views.new_conversations(_turns(spark, folder)).select(
+        "conv_id", "agent", F.col("title").alias("question")
+    )
+    return chat.chat_request_status(requests)
+
+
 def question_summary(spark: SparkSession, folder: str) -> DataFrame:
     asked = views.questions(_turns(spark, folder))
     summary = trace.agent_summary(F.col("agent"), F.col("question"))
@@ -488,6 +499,8 @@ QUERIES: tuple[Query, ...] = (
     conversation_memory,
     conversation_memory_state,
     question_intent,
+    resolved_question,
+    chat_request_status,
     question_summary,
     upload_file_errors,
     upload_batch_status,

@@ -326,6 +326,27 @@ QUERIES = {
                     ELSE 'concept' END AS intent
         FROM (SELECT id, conversation_id, {_trim("content")} AS question FROM msg WHERE role = 'user')
         WHERE length(question) > 0""",
+    "resolved_question": rf"""
+        SELECT id, conversation_id, intent,
+               CASE WHEN intent = 'follow_up' AND before IS NOT NULL
+                    THEN before || chr(10) || question ELSE question END AS resolved
+        FROM (SELECT *, lag(question) OVER (PARTITION BY conversation_id ORDER BY created_at, id) AS before
+              FROM (SELECT id, conversation_id, created_at, question,
+               CASE WHEN regexp_matches(lower(question), '^(?:and|what about|why|same for){_SHUT}') THEN 'follow_up'
+                    WHEN regexp_matches(lower(question), '{_OPEN}(?:response|reject) +codes?{_SHUT}') THEN 'response_code'
+                    WHEN regexp_matches(lower(question), '{_OPEN}(?:mti|iso ?8583|fld|de-?[0-9]+|fields? +[0-9]+){_SHUT}') THEN 'message_field'
+                    WHEN regexp_matches(lower(question), '{_OPEN}hsm{_SHUT}') THEN 'hsm_command'
+                    WHEN regexp_matches(lower(question), '{_OPEN}(?:how|steps?|procedures?){_SHUT}') THEN 'procedure'
+                    WHEN regexp_matches(lower(question), '{_OPEN}examples?{_SHUT}') THEN 'example'
+                    ELSE 'concept' END AS intent
+        FROM (SELECT id, conversation_id, created_at, {_trim("content")} AS question FROM msg WHERE role = 'user')
+        WHERE length(question) > 0))""",
+    "chat_request_status": """
+        SELECT conv_id, agent, title AS question,
+               CASE WHEN agent NOT IN ('documentation', 'log') THEN 'agent'
+                    WHEN length(title) < 1 THEN 'question' ELSE '' END AS fault,
+               CASE WHEN agent NOT IN ('documentation', 'log') OR length(title) < 1 THEN 422 ELSE 200 END AS status
+        FROM creation""",
     "question_summary": f"""
         SELECT conv_id, {_item("conv_id", "documentation", "log")} AS agent,
                CASE conv_id % 2 WHEN 1 THEN 'Analyzed the provided trace.'
