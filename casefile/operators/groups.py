@@ -88,22 +88,23 @@ def number_rows(
     keep_part: bool = False,
 ) -> DataFrame:
     """1-based place of each row of its key, by ``time`` then ``ties``, up to
-    ``limit`` if given; ``newest`` numbers from the end. The result is
-    partitioned by (key, part), which ``keep_part`` lets a later step use."""
-    marked = _with_part(df, key, time, hot_rows)
+    ``limit`` if given; ``newest`` numbers from the end. Without a limit the
+    result is partitioned by (key, part), which ``keep_part`` lets a later step use."""
     direction = F.desc if newest else F.asc
     order = [direction(c) for c in [time, *ties]]
+    if limit is not None:
+        # Spark cuts every key to the limit within each task before it shuffles,
+        # so a hot key needs no parts.
+        place = F.row_number().over(W.partitionBy(key).orderBy(*order))
+        return df.withColumn(name, place).where(F.col(name) <= limit)
+    marked = _with_part(df, key, time, hot_rows)
     within = F.row_number().over(W.partitionBy(key, "part").orderBy(*order))
     rows = marked.withColumn("within", within)
-    if limit is not None:
-        # On its own, so that Spark cuts each group before the shuffle.
-        rows = rows.where(F.col("within") <= limit)
     before = F.coalesce(F.col("before"), F.lit(0))
     kept = [*df.columns, "part"] if keep_part else df.columns
-    placed = rows.join(_rows_before(marked, key, newest), [key, "part"], "left").select(
+    return rows.join(_rows_before(marked, key, newest), [key, "part"], "left").select(
         *kept, (F.col("within") + before).alias(name)
     )
-    return placed if limit is None else placed.where(F.col(name) <= limit)
 
 
 def with_preceding(
