@@ -1,18 +1,19 @@
 """Similarity join of documents on word shingles, by vertical partitioning.
 
 A document is the set of its distinct shingles, as 64-bit hashes. All shingles
-have one global order: by hash, with those of many documents last. Two sets that
-are alike enough share a shingle among the first ones of each, their prefixes,
-so only documents that meet in a prefix can link.
+have one global order: rare ones first, by the level of their count, then by hash.
+Two sets that are alike enough share a shingle among the first ones of each, their
+prefixes, so only documents that meet in a prefix can link. Where they first meet
+bounds what they can share from there on, which rules out most pairs.
 
 The order is cut into fragments. For a pair to be checked, each fragment counts
 its own part of the overlap, and the parts are summed by pair.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from
 the start. Then, round by round, the classes that meet at a shingle are checked
-against one of them, a hub, unless both are already connected, and what links is
-merged. When few unconnected pairs are left, every one of them is checked, so
-components are exact: a skipped pair is one whose ends are connected anyway.
+against a few of them, hubs, unless both are already connected, and what links is
+merged. At last every pair that is still unconnected is checked, so components
+are exact: a skipped pair is one whose ends are connected anyway.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casefile.llm.chunks import in_chunks, mix, shingle_hashes, words_of
@@ -31,12 +33,13 @@ from casefile.operators.groups import broadcast_within
 WIDTH = 5
 FRAGMENTS = 8
 # A task looks for common shingles among this many at a time.
-WINDOW = 4_000_000
+WINDOW = 2_000_000
 # The list of common shingles goes to every task. It only orders shingles, so
 # its bound has no effect on results.
-MAX_COMMON = 500_000
+MAX_COMMON = 1_000_000
 MAX_BROADCAST_IDS = 1_000_000
-HUB_ROUNDS = 8
+HUB_ROUNDS = 2
+HUBS = 4
 
 
 def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,13 +62,13 @@ def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
 
 def _scan(docs: DataFrame) -> DataFrame:
     """Rows of two kinds from one pass: (doc_id, n, mark) of every document, and
-    (token, n) of shingles that at least three sets of a task's window hold."""
+    (token, n) of shingles that several sets of a task's window hold."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n bigint, mark bigint, token bigint"
 
     def common(window: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         token, count = np.unique(np.concatenate(window), return_counts=True)
-        return token[count > 2], count[count > 2]
+        return token[count > 1], count[count > 1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         window: list[np.ndarray] = []
@@ -103,23 +106,25 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
-    """(token, mark, n): the first shingles of every set, once per window and set."""
+def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+    """(token, mark, n, place): the first shingles of every set, with their place
+    from 0, once per task and set. ``common`` has sorted shingles and their levels."""
     shared = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, seen = shared.value, set()
+        (late, levels), seen = shared.value, set()
         for batch in batches:
             for _, texts in in_chunks([None] * batch.num_rows, batch.column(0).to_pylist()):
                 hashes, doc, size, mark = _sets(texts)
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen = set()
                 fresh = np.array([m not in seen and not seen.add(m) for m in mark.tolist()], bool)
                 keep = fresh[doc]
                 hashes, doc = hashes[keep], doc[keep]
                 if len(late):
                     at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
-                    order = np.lexsort((hashes, late[at] == hashes, doc))
+                    level = np.where(late[at] == hashes, levels[at], 0)
+                    order = np.lexsort((hashes, level, doc))
                     hashes, doc = hashes[order], doc[order]
                 own = np.where(fresh, size, 0)
                 place = np.arange(len(doc)) - (np.cumsum(own) - own)[doc]
@@ -129,11 +134,12 @@ def _prefixes(docs: DataFrame, common: np.ndarray, percent: int) -> DataFrame:
                         pa.array(hashes[first], pa.int64()),
                         pa.array(mark[doc[first]], pa.int64()),
                         pa.array(size[doc[first]], pa.int32()),
+                        pa.array(place[first], pa.int32()),
                     ],
-                    names=["token", "mark", "n"],
+                    names=["token", "mark", "n", "place"],
                 )
 
-    return docs.select("text").mapInArrow(run, "token bigint, mark bigint, n int")
+    return docs.select("text").mapInArrow(run, "token bigint, mark bigint, n int, place int")
 
 
 def _segments(docs: DataFrame) -> DataFrame:
@@ -165,6 +171,18 @@ def _segments(docs: DataFrame) -> DataFrame:
     return docs.select("text", "want").mapInArrow(run, "mark bigint, fragment int, part binary")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("mark")).distinct()
+
+
+def _texts(docs: DataFrame, classes: DataFrame, marks: DataFrame) -> DataFrame:
+    """(text, want): one document of each class in ``marks``, and its mark. Ids that
+    stand on several rows bring other texts too; those lack the mark."""
+    wanted = classes.join(marks, "mark").select(F.col("first").alias("id"), F.col("mark").alias("want"))
+    wanted = broadcast_within(wanted, marks, MAX_BROADCAST_IDS)
+    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("id"))).select("text", "want")
+
+
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     """The links (a, b) among ``pairs`` (a, b, total of both sizes)."""
 
@@ -182,7 +200,7 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
                 names=["a", "b", "total", "fragment", "shared"],
             )
 
-    ends = pairs.select(F.col("a").alias("mark")).unionByName(pairs.select(F.col("b").alias("mark"))).distinct()
+    ends = _ends(pairs)
     used = segments.join(broadcast_within(ends, ends, MAX_BROADCAST_IDS), "mark", "left_semi")
     left = used.select(F.col("mark").alias("a"), "fragment", F.col("part").alias("part_a"))
     right = used.select(F.col("mark").alias("b"), "fragment", F.col("part").alias("part_b"))
@@ -208,9 +226,16 @@ def _pair(one: str, other: str) -> list:
     ]
 
 
-def _near_sizes(one: str, other: str, percent: int):
-    low, high = F.least(f"{one}.n", f"{other}.n"), F.greatest(f"{one}.n", f"{other}.n")
-    return 100 * low >= percent * high
+def _may_link(one: str, other: str, percent: int):
+    """Whether two sets that first meet at these places can still share enough.
+
+    At a later meeting the bound is lower, so a pair that could link passes at its
+    first one, and a pair that passes nowhere cannot link.
+    """
+    rest = F.least(*(F.col(f"{side}.n") - F.col(f"{side}.place") for side in (one, other)))
+    enough = (100 + percent) * rest >= percent * (F.col(f"{one}.n") + F.col(f"{other}.n"))
+    met_before = F.coalesce(F.col(f"{one}.prev") == F.col(f"{other}.prev"), F.lit(False))
+    return enough & ~met_before
 
 
 def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
@@ -230,66 +255,71 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         scanned.where("token IS NOT NULL")
         .groupBy("token")
         .agg(F.sum("n").alias("n"))
-        .where("n >= 16")
+        .where("n >= 4")
         .orderBy(F.desc("n"), "token")
         .limit(MAX_COMMON)
-        .select("token")
+        .toArrow()
+    )
+    token, count = (common.column(c).to_numpy() for c in ("token", "n"))
+    order = np.argsort(token)
+    levels = (token[order], np.log2(count[order]).astype(np.int8))
+    # One shuffle, by token. A shingle of a single set leaves, and one where no
+    # set could be the smaller of a pair, which needs more of its shingles left.
+    every = W.partitionBy("token")
+    small = ((100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")).cast("int")
+    placed = _prefixes(docs, levels, percent).select(
+        "*",
+        F.min("mark").over(every).alias("low"),
+        F.max("mark").over(every).alias("high"),
+        F.max(small).over(every).alias("small"),
     )
-    late = np.sort(common.toArrow().column("token").to_numpy())
-    # One shuffle, by token; the tokens of a single set leave.
-    placed = _prefixes(docs, late, percent).repartition("token")
-    several = placed.groupBy("token").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).where("low <> high")
-    meetings = saved(placed.join(several, "token", "left_semi").distinct(), "meetings")
+    meetings = placed.where("low <> high AND small = 1").select("token", "mark", "n", "place").distinct()
+    # With the shingle before it that the set meets others at: two sets that have
+    # the same one have met there, so a run of shared shingles makes one row.
+    in_set = W.partitionBy("mark").orderBy("place")
+    meetings = saved(meetings.withColumn("prev", F.lag("token").over(in_set)), "meetings")
 
     classes = sets.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("first"))
-    live = meetings.select("mark").distinct()
-    wanted = classes.join(live, "mark").select(F.col("first").alias("id"), F.col("mark").alias("want"))
-    wanted = broadcast_within(wanted, live, MAX_BROADCAST_IDS)
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("id"))).select("text", "want")
-    segments = saved(_segments(texts), "segments")
-
+    segments, stored = None, None
     links, tested, members = None, None, None
-    budget = 2 * meetings.count() + 10_000
     for turn in range(HUB_ROUNDS + 1):
         spots = meetings.withColumn("root", F.col("mark"))
         if members is not None:
             spots = meetings.join(members, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        spots = saved(spots, "spots")
-        per_root = spots.groupBy("token", "root").agg(F.count(F.lit(1)).alias("k"))
-        per_token = per_root.groupBy("token").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.count(F.lit(1)).alias("roots")
-        )
-        open_tokens = per_token.where("roots > 1")
-        left = open_tokens.agg(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("pairs")).first()["pairs"] or 0
-        if not left:
+        # A shingle whose sets are all connected has no more to tell.
+        roots = spots.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+        spots = saved(spots.join(roots.where("low <> high").select("token"), "token", "left_semi"), "spots")
+        meetings = spots.drop("root")
+        if spots.isEmpty():
             break
-        last = left <= budget or turn == HUB_ROUNDS
+        last = turn == HUB_ROUNDS
         if last:
-            spots = saved(spots.join(open_tokens, "token", "left_semi"), "open")
             meet = F.col("x.root") != F.col("y.root")
             pairs = spots.alias("x").join(
                 spots.alias("y"),
-                (F.col("x.token") == F.col("y.token")) & (F.col("x.mark") < F.col("y.mark")) & meet & _near_sizes("x", "y", percent),
+                (F.col("x.token") == F.col("y.token")) & (F.col("x.mark") < F.col("y.mark")) & meet & _may_link("x", "y", percent),
             )
         else:
+            # The number of hubs grows, for sets that link with few of a group.
+            drawn = W.partitionBy("token").orderBy("h")
             hubs = (
-                spots.groupBy("token")
-                .agg(
-                    F.min(F.struct(F.xxhash64("mark", F.lit(turn)).alias("h"), "mark", "n", "root")).alias("hub"),
-                    F.min("root").alias("low"),
-                    F.max("root").alias("high"),
-                )
-                .where("low <> high")
-                .select("token", "hub.*")
+                spots.withColumn("h", F.xxhash64("mark", F.lit(turn)))
+                .withColumn("drawn", F.row_number().over(drawn))
+                .where(F.col("drawn") <= HUBS * 16**turn)
+                .select("token", "mark", "n", "place", "prev", "root")
             )
             pairs = spots.alias("x").join(
                 hubs.alias("y"),
-                (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _near_sizes("x", "y", percent),
+                (F.col("x.token") == F.col("y.token")) & (F.col("x.root") != F.col("y.root")) & _may_link("x", "y", percent),
             )
         pairs = pairs.select(*_pair("x", "y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
+        ends = saved(_ends(pairs) if stored is None else _ends(pairs).join(stored, "mark", "left_anti"), "ends")
+        more = saved(_segments(_texts(docs, classes, ends)), "segments")
+        segments = more if segments is None else segments.unionByName(more)
+        stored = ends if stored is None else stored.unionByName(ends)
         found = saved(_overlaps(pairs, segments, percent), "links")
         tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
         links = found if links is None else links.unionByName(found)
