@@ -11,9 +11,9 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> list[tuple[str, int]]:
-    """(text, label) of at most ``per_class`` training documents of each label,
-    0 and 1, collected: those with the smallest hash of their id, in that order.
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
+    """(order, doc_id, text, label) of at most ``per_class`` training documents of
+    each label, 0 and 1: those with the smallest hash of their id.
 
     Ids with a null or any other label, and held-out ids, are not used; an id
     with both labels counts as 1. The chosen ids are at most twice ``per_class``,
@@ -29,6 +29,10 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> li
         known.where(F.col("label") == k).orderBy("order", "doc_id").limit(per_class) for k in (0, 1)
     ]
     chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").collect()
-    rows.sort(key=lambda r: (r["order"], r["doc_id"], r["text"] or ""))
-    return [(r["text"] or "", r["label"]) for r in rows]
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return rows.select("order", "doc_id", "text", "label")
+
+
+def in_order(rows: list) -> list[tuple[str, int]]:
+    """(text, label) of sampled rows, in an order that does not depend on tasks."""
+    return [(r[2] or "", r[3]) for r in sorted(rows, key=lambda r: (r[0], r[1], r[2] or ""))]

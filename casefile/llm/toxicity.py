@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm.chunks import in_chunks
-from casefile.llm.labelled import held_out, sample
+from casefile.llm.labelled import in_order, sample
 
 GAP, MARK, OTHER, SPACE = 0, 29, 30, 31
 SPAN, DECAY = 6, 0.5
@@ -279,8 +279,24 @@ def _calibrate(model: Model, values: np.ndarray, labels: np.ndarray) -> None:
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Fits on at most ``per_class`` documents of each label (see ``sample``)."""
-    return fit(sample(docs, labels, "toxic", per_class))
+    """Fits on at most ``per_class`` documents of each label (see ``sample``), in
+    one task of its own: the texts do not pass through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        model = fit(in_order(rows))
+        used = np.flatnonzero(model.weights).astype(np.int32)
+        columns = [used.tobytes(), model.weights[used].tobytes(), model.bias, model.slope, model.shift]
+        yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], names=["at", "weights", "bias", "slope", "shift"])
+
+    rows = sample(docs, labels, "toxic", per_class).repartition(1)
+    schema = "at binary, weights binary, bias double, slope double, shift double"
+    fitted = rows.mapInArrow(run, schema).first()
+    if fitted is None:
+        return fit([])
+    weights = np.zeros(1 << 20, np.float32)
+    weights[np.frombuffer(fitted["at"], np.int32)] = np.frombuffer(fitted["weights"], np.float32)
+    return Model(weights, fitted["bias"], fitted["slope"], fitted["shift"])
 
 
 def score(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
@@ -309,5 +325,3 @@ def score(docs: DataFrame, model: Model, cut: float = 0.7) -> DataFrame:
     scored = docs.select(*kept, F.col("text").alias("__text")).mapInArrow(run, schema + ", toxicity double")
     return scored.withColumn("is_toxic", F.col("toxicity") >= cut)
 
-
-__all__ = ["Model", "fit", "held_out", "score", "train"]
