@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casefile.llm.chunks import in_chunks
-from casefile.llm.labelled import in_order, sample
+from casefile.llm.labelled import class_weights, in_order, sample
 
 GAP, MARK, OTHER, SPACE = 0, 29, 30, 31
 SPAN, DECAY = 6, 0.5
@@ -169,8 +169,14 @@ def _features(words: list[bytes], landmarks: np.ndarray, lookup: np.ndarray, nea
     return np.vstack(found), is_near
 
 
-def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, rounds: int = 1000) -> Model:
-    """The model of labelled texts. Without both labels it finds nothing toxic."""
+def fit(
+    rows: list[tuple[str, int]],
+    n_landmarks: int = LANDMARKS,
+    rounds: int = 1000,
+    class_weight: tuple[float, float] = (1.0, 1.0),
+) -> Model:
+    """The model of labelled texts. Without both labels it finds nothing toxic.
+    ``class_weight``: how many texts a row of label 0 and of label 1 stands for."""
     labels = np.array([y for _, y in rows], np.int64)
     nothing = Model(np.zeros(1 << 20, np.float32), -1.0, 1.0, -2.0)
     if not len(rows) or labels.min() == labels.max():
@@ -218,7 +224,8 @@ def fit(rows: list[tuple[str, int]], n_landmarks: int = LANDMARKS, rounds: int =
     weights = np.zeros(1 << 20, np.float32)
     weights[used] = table @ (whiten @ theta)
     model = Model(weights, bias, 1.0, 0.0)
-    _calibrate(model, np.concatenate([model.values([t]) for t, _ in rows]), labels)
+    values = np.concatenate([model.values([t]) for t, _ in rows])
+    _calibrate(model, values, labels, np.array(class_weight)[labels])
     return model
 
 
@@ -264,27 +271,30 @@ def _machine(features, member, sizes, labels, rounds) -> tuple[np.ndarray, float
     return kept[:-1], float(kept[-1])
 
 
-def _calibrate(model: Model, values: np.ndarray, labels: np.ndarray) -> None:
+def _calibrate(model: Model, values: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> None:
     """Scores reach 0.7 where training texts are told apart best (by F1), half
-    way to the value below; the slope comes from the spread of the values."""
+    way to the value below; the slope comes from the spread of the values. Texts
+    count by their weights, so neither depends on how the labels were sampled."""
     order = np.argsort(-values, kind="stable")
-    hits = np.cumsum(labels[order])
-    f1 = 2 * hits / (np.arange(1, len(order) + 1) + labels.sum())
+    hits = np.cumsum((weights * labels)[order])
+    f1 = 2 * hits / (np.cumsum(weights[order]) + (weights * labels).sum())
     last = np.concatenate((np.diff(values[order]) != 0, [True]))
     best = int(np.argmax(np.where(last, f1, -1)))
     here = values[order][best]
     below = values[order][best + 1] if best + 1 < len(order) else here - 1
-    model.slope = float(2 / max(1e-3, np.std(values)))
+    spread = np.sqrt(np.average((values - np.average(values, weights=weights)) ** 2, weights=weights))
+    model.slope = float(2 / max(1e-3, spread))
     model.shift = float(np.log(0.7 / 0.3) - model.slope * (here + below) / 2)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """Fits on at most ``per_class`` documents of each label (see ``sample``), in
-    one task of its own: the texts do not pass through the driver."""
+    one task of its own: the texts do not pass through the driver. The cut is
+    placed at the label shares of all training labels, not of the sample."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True)]
-        model = fit(in_order(rows))
+        model = fit(in_order(rows), class_weight=class_weights(rows))
         used = np.flatnonzero(model.weights).astype(np.int32)
         columns = [used.tobytes(), model.weights[used].tobytes(), model.bias, model.slope, model.shift]
         yield pa.RecordBatch.from_arrays([pa.array([c]) for c in columns], names=["at", "weights", "bias", "slope", "shift"])

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from casefile.llm import ranking, toxicity
+from casefile.llm import labelled, ranking, toxicity
 from casefile.llm.queries import op3_quality_ranking, op4_toxicity
 from tests.compare import TESTDATA
 
@@ -102,3 +102,33 @@ def test_edge_cases(spark, module):
         value = "toxicity" if module is toxicity else "quality_score"
         assert all(0 <= r[value] <= 1 for r in out)
     assert module.score(docs.where("false"), module.train(docs, labels)).collect() == []
+
+
+def test_toxicity_cut_does_not_depend_on_the_cap():
+    draw = np.random.default_rng(3)
+    labels = np.repeat([0, 1], [9000, 600])
+    values = draw.normal(labels * 2.0, 1.0)
+    whole, capped, bare = (toxicity.Model(np.zeros(1), 0.0, 1.0, 0.0) for _ in range(3))
+    toxicity._calibrate(whole, values, labels, np.ones(len(labels)))
+    part = np.concatenate((np.arange(600), np.arange(9000, 9600)))
+    toxicity._calibrate(capped, values[part], labels[part], np.where(labels[part] == 1, 1.0, 15.0))
+    toxicity._calibrate(bare, values[part], labels[part], np.ones(len(part)))
+
+    def lost(model):
+        logit = model.slope * values[labels == 0] + model.shift
+        return np.mean(logit >= np.log(0.7 / 0.3))
+
+    assert lost(capped) == pytest.approx(lost(whole), abs=0.02) and lost(bare) > 0.1
+    assert capped.slope == pytest.approx(whole.slope, rel=0.1)
+
+
+def test_sample_weights_add_up_to_all_training_labels(spark):
+    docs = spark.range(600).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 = 0) AS toxic")
+    rows = labelled.sample(docs, labels, "toxic", 20).collect()
+    kept = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for label in (0, 1):
+        of_label = [r for r in rows if r.label == label]
+        assert len(of_label) == 20
+        all_of_it = sum((i % 10 == 0) == (label == 1) for i in kept)
+        assert sum(r.weight for r in of_label) == pytest.approx(all_of_it)
