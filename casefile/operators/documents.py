@@ -26,7 +26,10 @@ URL = r"https?://[^ \t\r\n<>\"]+"
 # kind, pattern, and what every match contains: text without it is not searched.
 FACTS = (("number", NUMBER, ""), ("email", EMAIL, "@"), ("url", URL, "http"))
 
-BLOCK = r"(?s)<(?:h1|p)>(.*?)</(?:h1|p)>"
+# Closing tags may be missing: a block also ends where the next one or the
+# article's end begins.
+UNTIL_END = r"(.*?)(?=</?(?:h1|p)>|</article>|\z)"
+BLOCK = r"(?s)<(?:h1|p)>" + UNTIL_END
 TAG = r"(?s)<[^>]*>"
 
 
@@ -47,7 +50,7 @@ def text_units(documents: DataFrame) -> DataFrame:
 
 
 def page_units(pages: DataFrame) -> DataFrame:
-    """ING-1 over HTML: headings and paragraphs, tags removed."""
+    """ING-1 over HTML: headings and paragraphs, closed or not, tags removed."""
     blocks = F.regexp_extract_all("html", F.lit(BLOCK), F.lit(1))
     lines = pages.select(
         F.col("page_id").alias("doc_id"),
@@ -66,21 +69,21 @@ def page_units(pages: DataFrame) -> DataFrame:
 
 def page_sections(pages: DataFrame) -> DataFrame:
     """ING-1: the text between one heading and the next; section 0 comes before
-    the first heading."""
+    the first heading. Paragraphs count by their opening tags."""
     parts = pages.select(
         F.col("page_id").alias("doc_id"),
         F.col("url").alias("source"),
         F.posexplode_outer(F.split("html", "<h1>")).alias("section_no", "part"),
     ).where("part IS NOT NULL")
     titled = F.col("section_no") > 0
-    title = F.when(titled, F.substring_index("part", "</h1>", 1)).otherwise(F.lit(""))
-    blocks = F.regexp_extract_all("part", F.lit(r"(?s)<p>(.*?)</p>"), F.lit(1))
+    heading = F.regexp_extract("part", r"(?s)\A" + UNTIL_END, 1)
+    title = F.when(titled, heading).otherwise(F.lit(""))
     return parts.select(
         "doc_id",
         "source",
         F.col("section_no").cast("bigint").alias("section_no"),
         js_trim(F.regexp_replace(title, TAG, " ")).alias("title"),
-        F.size(blocks).cast("bigint").alias("n_paragraphs"),
+        (F.size(F.split("part", "<p>")) - 1).cast("bigint").alias("n_paragraphs"),
     )
 
 

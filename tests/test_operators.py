@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from casefile.operators import answers, chat, documents, retrieval, trace, uploads
 from casefile.schemas import CONVERSATION, MESSAGE
 from casefile.sources import sinks, tables
+from tests.compare import TESTDATA, canonical, sql_rows
 
 DAY = dt.datetime(2024, 1, 1)
 ID_A, ID_B, ID_C = "a" * 24, "b" * 24, "c" * 24
@@ -408,6 +410,55 @@ def test_page_levels(spark):
     assert [(r.title, r.n_paragraphs) for r in sections] == [("", 1), ("T 1", 2), ("T2", 0)]
 
 
+def test_unclosed_blocks(spark):
+    html = "<article><h1>T<p><b>a<br><p>b</p><p>c\nd</article><footer>no</footer>"
+    rows = [(1, "u", html), (2, "u", "<p>last"), (3, "u", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    units = documents.page_units(pages).collect()
+    assert [(r.doc_id, r.unit_no, r.unit) for r in units] == [
+        (1, 1, "T"), (1, 2, "a"), (1, 3, "b"), (1, 4, "c\nd"), (2, 1, "last"),
+    ]
+    sections = documents.page_sections(pages).collect()
+    assert [(r.doc_id, r.title, r.n_paragraphs) for r in sections] == [
+        (1, "", 0), (1, "T", 3), (2, "", 1),
+    ]
+
+
+def test_no_article_text_is_lost(spark):
+    folder = TESTDATA / "sf0.01"
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    found = {}
+    for r in documents.page_units(pages).orderBy("doc_id", "unit_no").collect():
+        found.setdefault(r.doc_id, []).append(r.unit)
+    unclosed = 0
+    for page in pages.collect():
+        article = re.search("(?s)<article>(.*?)</article>", page.html)[1]
+        unclosed += article.count("<p>") - article.count("</p>")
+        words = re.sub("(?s)<[^>]*>", " ", article).split()
+        assert " ".join(found[page.page_id]).split() == words
+    assert unclosed
+    # Split on opening tags, each part cut at the first tag that ends it.
+    split = """
+        SELECT page_id AS doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS unit_no
+        FROM (SELECT page_id, string_split(replace(html, '<h1>', '<p>'), '<p>') AS parts FROM pages)"""
+    columns, expected = sql_rows(
+        f"""SELECT doc_id, unit_no, unit FROM (SELECT doc_id, unit_no, trim(regexp_replace(
+                string_split(string_split(string_split(part, '</p>')[1], '</h1>')[1], '</article>')[1],
+                '<[^>]*>', ' ', 'g')) AS unit FROM ({split}) WHERE unit_no > 0) WHERE unit <> ''""",
+        folder,
+    )
+    units = documents.page_units(pages).select(*columns)
+    assert canonical(columns, units.collect()) == canonical(columns, expected)
+    columns, expected = sql_rows(
+        """SELECT doc_id, section_no, len(string_split(part, '<p>')) - 1 AS n_paragraphs
+           FROM (SELECT page_id AS doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) - 1 AS section_no
+                 FROM (SELECT page_id, string_split(html, '<h1>') AS parts FROM pages))""",
+        folder,
+    )
+    sections = documents.page_sections(pages).select(*columns)
+    assert canonical(columns, sections.collect()) == canonical(columns, expected)
+
+
 @pytest.mark.parametrize("hot_rows", [1, 2, 1000])
 def test_memory(stored, hot_rows):
     rows = documents.memory(stored, 2, hot_rows).where(F.col("conversation_id") == ID_A)
