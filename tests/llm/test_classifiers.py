@@ -132,3 +132,24 @@ def test_sample_weights_add_up_to_all_training_labels(spark):
         assert len(of_label) == 20
         all_of_it = sum((i % 10 == 0) == (label == 1) for i in kept)
         assert sum(r.weight for r in of_label) == pytest.approx(all_of_it)
+
+
+def test_ranking_threshold_does_not_depend_on_the_cap():
+    draw = np.random.default_rng(4)
+    labels = np.repeat([0, 1], [800, 8000])
+    made = draw.normal(labels[:, None] * [1.0, 0.5], 1.0)
+    whole = ranking.fit(made, labels, np.ones(len(labels)))
+    part = np.concatenate((np.arange(800), np.arange(800, 1600)))
+    capped = ranking.fit(made[part], labels[part], np.where(labels[part] == 1, 10.0, 1.0))
+    below = [np.mean(m.strengths(made) < m.threshold) for m in (whole, capped)]
+    assert below[0] == pytest.approx(800 / 8800, abs=0.01)
+    assert below[1] == pytest.approx(below[0], abs=0.03)
+    assert ranking._quantile(made[:, 0], np.ones(len(made)), 0.3) == pytest.approx(np.quantile(made[:, 0], 0.3))
+
+
+def test_ranking_fit_takes_repeated_ids_once(spark):
+    docs = spark.range(90).selectExpr("id AS doc_id", "repeat(if(id % 3 = 0, 'Some words. ', '# 12 '), int(id) + 5) AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 3 = 0) AS quality")
+    repeated = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(200)).drop("id"))
+    once, more = ranking.train(docs, labels), ranking.train(repeated, labels)
+    assert np.allclose(once.weights, more.weights) and once.threshold == pytest.approx(more.threshold)
