@@ -6,8 +6,9 @@ Two sets that are alike enough share a shingle among the first ones of each, the
 prefixes, so only documents that meet in a prefix can link. Where they first meet
 bounds what they can share from there on, which rules out most pairs.
 
-The order is cut into fragments. For a pair to be checked, each fragment counts
-its own part of the overlap, and the parts are summed by pair.
+The sets are cut into fragments by the top three bits of the hash. For a pair to
+be checked, each fragment counts its own part of the overlap, and the parts are
+summed by pair.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from
 the start. Then, round by round, the classes that meet at a shingle are checked
