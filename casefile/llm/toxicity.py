@@ -4,7 +4,8 @@ The kernel of two strings sums, over every subsequence of four symbols found in
 both within six places, the product of their weights; every place skipped halves
 a weight. So an insult with letters put in or left out is still near the plain
 one. Case, accents, digits and punctuation are taken off first, white space is a
-symbol, and a string is a word with the white space around it.
+symbol, and a string is a word with the white space around it. Letters from
+U+0250 on are one symbol: words of other scripts than Latin differ by length only.
 
 Landmark strings approximate the kernel (Nyström): the machine is linear in the
 whitened kernel values to the landmarks. Because the kernel is a sum over
