@@ -8,11 +8,28 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casefile.llm import chatlog, jaccard, mixing, pieces, pii, pivots, ranking, repetition, sql, toxicity, urls
+from casefile.llm import (
+    audit,
+    chatlog,
+    jaccard,
+    mixing,
+    pieces,
+    pii,
+    pivots,
+    ranking,
+    repetition,
+    resample,
+    sql,
+    tokenfile,
+    toxicity,
+    urls,
+)
 from casefile.llm.labelled import held_out
+from casefile.session import work_dir
 from casefile.sources.tables import read_table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+WORD_MODEL = "word_bpe_49k.json"
 
 
 def op1_chat_snapshots(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +90,21 @@ def op10_jaccard(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.similar_components(read_table(spark, folder, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
+    return audit.audit(read_table(spark, folder, "documents"), read_table(spark, folder, "labels"))
+
+
+def op12_repair(spark: SparkSession, folder: str) -> DataFrame:
+    files = work_dir(spark, "token-files")
+    tokenfile.write(read_table(spark, folder, "documents"), files, public_tokenizers.path(WORD_MODEL))
+    return tokenfile.read(spark, files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op13_resample(spark: SparkSession, folder: str) -> DataFrame:
+    drawn = resample.resample(read_table(spark, folder, "documents"), read_table(spark, folder, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -86,6 +118,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_pivots,
         op9_pii,
         op10_jaccard,
+        op11_filter_audit,
+        op12_repair,
+        op13_resample,
     )
 }
 ORACLE: dict[str, str] = sql.statements()

@@ -132,6 +132,57 @@ FROM embeddings e JOIN named n ON n.a = e.vec_id LEFT JOIN pairs p ON p.a = e.ve
 GROUP BY e.vec_id
 """
 
+# Every order step by step: masks are strings of failed letters.
+AUDIT = """
+WITH marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
+), texts AS (
+  SELECT doc_id, coalesce(CAST(lang AS VARCHAR), '') AS part, coalesce(text, '') AS text,
+    coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS words
+  FROM documents
+), flagged AS (
+  SELECT t.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic,
+    CASE WHEN len(words) < 200 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails
+  FROM texts t LEFT JOIN marks m ON m.doc_id = t.doc_id
+), cells AS (
+  SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM flagged GROUP BY part, fails
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x
+), steps AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS x, substr(filter_order, 1, step - 1) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), judged AS (
+  SELECT part, filter_order, step, x, n, good, toxic, fails,
+    contains(fails, x) AS hit,
+    length(translate(fails, before, '')) < length(fails) AS gone
+  FROM cells, steps
+), summed AS (
+  SELECT part, filter_order, step, x,
+    sum(CASE WHEN NOT gone AND NOT hit THEN n ELSE 0 END) AS kept,
+    sum(CASE WHEN NOT gone AND hit THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN gone AND hit THEN n ELSE 0 END) AS redundant,
+    sum(CASE WHEN fails = x THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN NOT gone AND hit THEN good ELSE 0 END) AS good_lost,
+    sum(CASE WHEN NOT gone AND hit THEN toxic ELSE 0 END) AS toxic_lost
+  FROM judged GROUP BY part, filter_order, step, x
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept,
+  CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost,
+  CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, x) AS BIGINT) AS shapley
+FROM summed
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -139,4 +190,5 @@ def statements() -> dict[str, str]:
         "op6_mixing": _mixing(),
         "op7_urls": _urls(),
         "op8_pivots": VECTORS,
+        "op11_filter_audit": AUDIT,
     }
