@@ -15,9 +15,10 @@ from dataclasses import dataclass
 import numpy as np
 
 LEAST = 4
-STEP = 4
+STEP = 8
 _HASH_BITS = 20
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint32(0x9E3779B1)
+_OTHER = np.uint32(0x85EBCA77)
 _HEAD = struct.Struct("<4sIIIIQ")
 _MAGIC = b"RPG1"
 
@@ -91,51 +92,62 @@ class Grammar:
         return Grammar(base, left, right, lengths, seq, symbol_ends, token_ends)
 
 
-def _frequent(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys found ``level`` times or more, their counts, and the places
-    where they may be. A bucket's count bounds those of its keys, so only keys of
-    full buckets are sorted."""
-    bucket = ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-    full = np.bincount(bucket, minlength=1 << _HASH_BITS) >= level
-    places = np.flatnonzero(full[bucket])
-    some = np.sort(keys[places])
-    begins = np.flatnonzero(np.concatenate(([True], some[1:] != some[:-1]))) if len(some) else np.zeros(0, np.int64)
-    counts = np.diff(np.concatenate((begins, [len(some)])))
-    often = counts >= level
-    return some[begins[often]], counts[often], places
+def _buckets(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A bucket for every pair of neighbours, and one apart for pairs that would
+    cross the end of a document."""
+    mixed = seq[:-1] * _MIX ^ (seq[1:] + np.uint32(1)) * _OTHER
+    bucket = (mixed >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
+    bucket[last[:-1]] = 1 << _HASH_BITS
+    return bucket
 
 
 def compress(ids: np.ndarray, token_ends: np.ndarray, base: int, least: int = LEAST) -> Grammar:
     """The grammar of documents that end before ``token_ends`` in ``ids``, all of
-    them below ``base``. Rules are used ``least`` times or more when made; the
-    level falls by ``STEP`` whenever no pair reaches it."""
-    seq = ids.astype(np.int64)
+    them below ``base``. Rules are used ``least`` times or more when made.
+
+    Each round takes the pairs at a level or above, which falls by ``STEP`` from
+    round to round; the lowest level is repeated until no pair reaches it. A
+    bucket's count bounds the counts of its pairs, so only pairs of full buckets are
+    sorted and counted.
+    """
+    seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[token_ends[np.diff(token_ends, prepend=0) > 0] - 1] = True
     lefts: list[np.ndarray] = []
     rights: list[np.ndarray] = []
-    made = 0
-    level = max(least, len(seq))
+    made, level = 0, None
+    # From the second round at the lowest level on, only pairs with a symbol of the
+    # last round, or that lost an occurrence's contest in it, can be frequent.
+    fresh: int | None = None
+    waiting = np.zeros(len(seq), bool)
     while len(seq) > 1:
-        places = np.flatnonzero(~last[:-1])
+        if fresh is None:
+            bucket = _buckets(seq, last)
+            full = np.bincount(bucket, minlength=(1 << _HASH_BITS) + 1)
+            full[-1] = 0
+            most = int(full.max())
+            level = max(least, (most if level is None else min(level, most)) // STEP)
+            places = np.flatnonzero((full >= level)[bucket])
+        else:
+            new = seq >= fresh
+            places = np.flatnonzero((new[:-1] | new[1:] | waiting[:-1]) & ~last[:-1])
         width = base + made
-        keys = seq[places] * width + seq[places + 1]
-        if level > least:
-            # No pair is found more often than its bucket: start there.
-            bucket = ((keys.astype(np.uint64) * _MIX) >> np.uint64(64 - _HASH_BITS)).astype(np.int64)
-            most = int(np.bincount(bucket).max(initial=0))
-            level = max(least, min(level, most // STEP))
-        chosen, counts, near = _frequent(keys, level)
-        rules = _replace(seq, last, places[near], keys[near], chosen, counts, width, least)
-        if rules is None:
+        keys = seq[places].astype(np.int64) * width + seq[places + 1]
+        some = np.sort(keys)
+        begins = np.flatnonzero(some[1:] != some[:-1]) + 1
+        begins = np.concatenate((np.zeros(min(1, len(some)), np.int64), begins))
+        counts = np.diff(begins, append=len(some))
+        often = counts >= level
+        done = _replace(seq, last, places, keys, some[begins[often]], counts[often], width, least)
+        if done is None:
             if level == least:
                 break
-            level = max(least, level // STEP)
             continue
-        seq, last, pairs = rules
+        seq, last, waiting, pairs = done
         lefts.append(pairs // width)
         rights.append(pairs % width)
         made += len(pairs)
+        fresh = width if level == least else None
     left = np.concatenate(lefts) if lefts else np.zeros(0, np.int64)
     right = np.concatenate(rights) if rights else np.zeros(0, np.int64)
     lengths = np.ones(base + made, np.int64)
@@ -153,12 +165,14 @@ def compress(ids: np.ndarray, token_ends: np.ndarray, base: int, least: int = LE
 
 def _replace(seq, last, places, keys, chosen, counts, width, least):
     """The sequence with the ``chosen`` pairs replaced by ``width``, ``width`` + 1, …,
-    and the pairs that got a rule; None if no pair keeps ``least`` occurrences."""
+    its document ends, where a chosen pair is left, and the pairs that got a rule; None if no pair keeps ``least`` occurrences."""
     if not len(chosen):
         return None
     at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
     hit = chosen[at] == keys
     places, at = places[hit], at[hit]
+    waiting = np.zeros(len(seq), bool)
+    waiting[places] = True
     priority = np.empty(len(chosen), np.int64)
     priority[np.argsort(-counts, kind="stable")] = np.arange(len(chosen))
     order = priority[at]
@@ -180,8 +194,9 @@ def _replace(seq, last, places, keys, chosen, counts, width, least):
     places, at = places[used], at[used]
     name = np.cumsum(enough) - 1 + width
     seq, last = seq.copy(), last.copy()
-    seq[places] = name[at]
+    seq[places] = name[at].astype(np.uint32)
     last[places] = last[places + 1]
     stays = np.ones(len(seq), bool)
     stays[places + 1] = False
-    return seq[stays], last[stays], chosen[enough]
+    waiting[places] = False
+    return seq[stays], last[stays], waiting[stays], chosen[enough]

@@ -12,6 +12,9 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from itertools import chain, pairwise
+from itertools import compress as compress_by
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +27,9 @@ from casefile.llm.repair import Grammar, compress
 
 END_ID = 2
 SHARD_IDS = 1_000_000
-KNOWN_WORDS = 800_000
+KNOWN_WORDS = 1_500_000
 BLANKS = " \t\n\v\f\r"
+MARKS = b".,;:!?"
 
 
 def load_tokenizer(path: str):
@@ -39,9 +43,10 @@ def word_wise(tokenizer) -> bool:
     """Whether texts may be cut at blanks (space, U+0009 to U+000D) before encoding.
 
     So it is if blanks are removed before the model sees a text, and nothing looks
-    across them: the normalizers work on characters (no Unicode form composes or
-    reorders across a blank), the first step keeps only what its pattern matches,
-    no match of it holds a blank, and no added token does or takes one along.
+    across them: the normalizers work on characters and lower them (no Unicode form
+    composes or reorders across a blank), the first step keeps only what its pattern matches,
+    no match of it holds a blank, and no added token does or takes one along; added
+    tokens can be told by ``<|``.
     """
     spec = json.loads(tokenizer.to_str())
 
@@ -58,6 +63,8 @@ def word_wise(tokenizer) -> bool:
         return False
     if spec["post_processor"] is not None or spec["truncation"] is not None or spec["padding"] is not None:
         return False
+    if any("<|" not in t["content"] for t in spec["added_tokens"]) or not {"type": "Lowercase"} in normal:
+        return False
     probes = ["".join(f"{a}{blank}" for a in ("a", "1", "'", "é", ".")) for blank in BLANKS]
     alone = [[w for word in p.split() for w in tokenizer.encode(word, add_special_tokens=False).ids] for p in probes]
     return alone == [tokenizer.encode(p, add_special_tokens=False).ids for p in probes]
@@ -67,6 +74,15 @@ def _blanks_only(step: dict) -> bool:
     return step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
 
 
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+
+
+def _words(text: str) -> list[bytes]:
+    """A text cut at blanks, with A to Z lowered unless it may hold an added token."""
+    data = text.encode()
+    return (data if b"<|" in data else data.translate(_LOWER)).split()
+
+
 class Encoder:
     """Ids of texts, in one task. Where texts may be cut at blanks, every distinct
     word is encoded once; the table of words is bounded, a full one starts anew."""
@@ -76,23 +92,52 @@ class Encoder:
         self.words: dict[bytes, bytes] | None = {} if word_wise(tokenizer) else None
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
+        packed = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4 if found else 0).tobytes()
+        return [packed[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Adds words to the table. Marks after an ASCII letter or digit are a word of
+        their own to the tokenizer, so those words are put together from two."""
+        pairs = []
+        for word in fresh:
+            stem = word.rstrip(MARKS)
+            if len(stem) < len(word) and stem[-1:].isalnum() and b"<|" not in word:
+                pairs.append((word, stem, word[len(stem) :]))
+        parts = fresh.difference(w for w, _, _ in pairs)
+        parts.update(p for pair in pairs for p in pair[1:])
+        parts = list(parts.difference(self.words))
+        self.words.update(zip(parts, self._ids([w.decode() for w in parts]), strict=True))
+        self.words.update((w, self.words[stem] + self.words[marks]) for w, stem, marks in pairs)
 
     def apply(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         if self.words is None:
             return self._ids(texts)
-        # Bytes are cut at the six blanks only.
-        words = [t.encode().split() for t in texts]
-        fresh = set().union(*words).difference(self.words)
-        if fresh and len(self.words) + len(fresh) > self.limit:
-            self.words.clear()
-            fresh = set().union(*words)
+        cut = [_words(t) for t in texts]
+        found = [list(map(self.words.get, own)) for own in cut]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        # Words without ids count as lacking too; there are next to none.
+        fresh = set(chain.from_iterable(compress_by(cut[k], map(not_, found[k])) for k in lacking))
         if fresh:
-            ordered = list(fresh)
-            self.words.update(zip(ordered, self._ids([w.decode() for w in ordered]), strict=True))
-        return [b"".join(map(self.words.__getitem__, own)) for own in words]
+            if len(self.words) + len(fresh) > self.limit:
+                self.words.clear()
+                lacking, fresh = range(len(cut)), set().union(*cut)
+            self._learn(fresh)
+            for k in lacking:
+                found[k] = list(map(self.words.get, cut[k]))
+        return [b"".join(ids) for ids in found]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a Python worker: its table of words serves all of its tasks."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(load_tokenizer(path))
+    return _ENCODERS[path]
 
 
 SHARD = "part int, shard int, first_token bigint, n_tokens bigint, doc_ids array<{kind}>, grammar binary"
@@ -104,9 +149,8 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(tokenizer_path)
-        encoder, end = Encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        base = max(tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
+        encoder, end = encoder_of(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        base = max(encoder.tokenizer.get_vocab_size(with_added_tokens=True), end_id + 1)
         names: list = []
         coded: list[bytes] = []
         held, shard, first = 0, 0, 0
