@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from itertools import chain, pairwise
 from itertools import compress as compress_by
@@ -83,6 +84,48 @@ def _words(text: str) -> list[bytes]:
     return (data if b"<|" in data else data.translate(_LOWER)).split()
 
 
+class Letters:
+    """Words of small Latin letters, many in one call.
+
+    Such a word is in normal form already and is one word to the tokenizer, so only
+    the byte alphabet and the model are left of it: words go to the model side by
+    side, and the ids that end a word tell them apart.
+    """
+
+    SMALL = re.compile("[a-zß-öø-ÿ]+")
+
+    def __init__(self, tokenizer):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        letters = [chr(c) for c in range(0x100) if self.SMALL.fullmatch(chr(c))]
+        self.alphabet = {ord(c): bytes_of.pre_tokenize_str(c)[0][0] for c in letters}
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix, vocabulary = tokenizer.model.end_of_word_suffix, tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
+        probes = [*letters, "".join(letters), *(a + b for a, b in pairwise(letters))]
+        self.usable = self.ids(probes) == _packed(tokenizer, probes)
+
+    def ids(self, words: list[str]) -> list[bytes] | None:
+        """Ids of each word; None if the model does not end every word by an id."""
+        text = " ".join(words).translate(self.alphabet)
+        found = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.flatnonzero(self.ends[found]) + 1) * 4
+        if len(ends) != len(words) or (len(ends) and ends[-1] != found.nbytes):
+            return None
+        packed = found.tobytes()
+        return [packed[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+
+def _packed(tokenizer, texts: list[str]) -> list[bytes]:
+    found = [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
+    packed = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4 if found else 0).tobytes()
+    return [packed[a:b] for a, b in pairwise([0, *ends.tolist()])]
+
+
 class Encoder:
     """Ids of texts, in one task. Where texts may be cut at blanks, every distinct
     word is encoded once; the table of words is bounded, a full one starts anew."""
@@ -90,12 +133,16 @@ class Encoder:
     def __init__(self, tokenizer, limit: int = KNOWN_WORDS):
         self.tokenizer, self.limit = tokenizer, limit
         self.words: dict[bytes, bytes] | None = {} if word_wise(tokenizer) else None
+        self.letters = None if self.words is None else Letters(tokenizer)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found))) * 4
-        packed = np.fromiter(chain.from_iterable(found), "<u4", int(ends[-1]) // 4 if found else 0).tobytes()
-        return [packed[a:b] for a, b in pairwise([0, *ends.tolist()])]
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of words, those of plain letters by the model alone."""
+        plain = [bool(Letters.SMALL.fullmatch(w)) and self.letters.usable for w in words]
+        small = self.letters.ids(list(compress_by(words, plain))) if any(plain) else []
+        if small is None:
+            return _packed(self.tokenizer, words)
+        fast, slow = iter(small), iter(_packed(self.tokenizer, [w for w, p in zip(words, plain, strict=True) if not p]))
+        return [next(fast) if p else next(slow) for p in plain]
 
     def _learn(self, fresh: set[bytes]) -> None:
         """Adds words to the table. Marks after an ASCII letter or digit are a word of
@@ -114,7 +161,7 @@ class Encoder:
     def apply(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text."""
         if self.words is None:
-            return self._ids(texts)
+            return _packed(self.tokenizer, texts)
         cut = [_words(t) for t in texts]
         found = [list(map(self.words.get, own)) for own in cut]
         lacking = [k for k, ids in enumerate(found) if None in ids]

@@ -96,6 +96,19 @@ def test_words_are_encoded_as_in_their_text(tokenizer, limit):
             assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_words_of_letters_by_the_model_alone(tokenizer):
+    letters, rng = tokenfile.Letters(tokenizer), random.Random(8)
+    assert letters.usable
+    alphabet = "abcdefghijklmnopqrstuvwxyzßàáâäçèéêíñóöúüÿ"
+    words = ["".join(rng.choice(alphabet) for _ in range(rng.randint(1, 25))) for _ in range(5000)]
+    assert letters.ids(words) == [
+        np.array(tokenizer.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words
+    ]
+    assert not letters.SMALL.fullmatch("a÷b")
+    other = tokenfile.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    assert not tokenfile.Letters(other).usable
+
+
 def test_other_tokenizers_see_whole_texts():
     other = tokenfile.load_tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
     encoder = tokenfile.Encoder(other)
