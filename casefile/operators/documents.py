@@ -7,6 +7,8 @@ filter on the array's size, which computes the array twice.
 
 from __future__ import annotations
 
+from html.entities import name2codepoint
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,11 +28,52 @@ URL = r"https?://[^ \t\r\n<>\"]+"
 # kind, pattern, and what every match contains: text without it is not searched.
 FACTS = (("number", NUMBER, ""), ("email", EMAIL, "@"), ("url", URL, "http"))
 
-# Closing tags may be missing: a block also ends where the next one or the
-# article's end begins.
-UNTIL_END = r"(.*?)(?=</?(?:h1|p)>|</article>|\z)"
-BLOCK = r"(?s)<(?:h1|p)>" + UNTIL_END
+# What a reader of a page does not see.
+HIDDEN = (
+    r"(?is)<!--.*?(?:-->|\z)"
+    r"|<script\b.*?(?:</script\s*>|\z)"
+    r"|<style\b.*?(?:</style\s*>|\z)"
+)
+ATTRIBUTES = r"(?:[\s/][^>]*)?>"
+HEADING = "(?i)<h[1-6]" + ATTRIBUTES
+PARAGRAPH = "(?i)<p" + ATTRIBUTES
+ITEM = "(?i)<li" + ATTRIBUTES
+BLOCK = "(?i)(?=<(?:title|h[1-6]|p|li)" + ATTRIBUTES + ")"
+BLOCK_KIND = r"(?i)\A<(title|h|p|li)[1-6]?" + ATTRIBUTES
+# Closing tags may be missing: a block also ends where its list or article does;
+# that the next block ends it follows from the split on opening tags.
+UNTIL_END = r"(.*?)(?=</?(?:title|h[1-6]|p|li|ul|ol|nav|article)(?:[\s/][^>]*)?>|\z)"
+BLOCK_TEXT = r"(?is)\A<[^>]*>" + UNTIL_END
 TAG = r"(?s)<[^>]*>"
+ENTITY = "&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"
+LANGUAGE = r"(?is)<html\b[^>]*?\slang\s*=\s*[\"']?([A-Za-z0-9-]+)"
+PART_NAMES = {"title": "title", "h": "heading", "p": "paragraph", "li": "item"}
+
+
+def _entity(entity: Column) -> Column:
+    """The character that an entity stands for; unknown names stay as they are, and
+    numbers that are no character become U+FFFD."""
+    names = F.map_from_arrays(
+        F.array(*(F.lit(f"&{name};") for name in name2codepoint)),
+        F.array(*(F.lit(chr(code)) for code in name2codepoint.values())),
+    )
+    digits = F.regexp_extract(entity, "[0-9a-fA-F]+", 0)
+    number = F.when(F.lower(F.substring(entity, 3, 1)) == "x", F.conv(digits, 16, 10)).otherwise(digits)
+    code = number.try_cast("int")
+    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    numeric = F.when(valid, char).otherwise(F.lit("\ufffd"))
+    return F.when(F.startswith(entity, F.lit("&#")), numeric).otherwise(F.coalesce(F.try_element_at(names, entity), entity))
+
+
+def plain_text(html: Column) -> Column:
+    """HTML without tags, entities decoded once, trimmed. Text and entities are cut
+    apart and joined again, so ``&amp;lt;`` becomes ``&lt;`` and the time is linear."""
+    bare = F.regexp_replace(html, TAG, " ")
+    entities = F.transform(F.regexp_extract_all(bare, F.lit(ENTITY), F.lit(0)), _entity)
+    between = F.split(bare, ENTITY, -1)
+    joined = F.zip_with(between, entities, lambda text, char: F.concat(text, F.coalesce(char, F.lit(""))))
+    return js_trim(F.when(F.contains(bare, F.lit("&")), F.array_join(joined, "")).otherwise(bare))
 
 
 def _filled(units: DataFrame) -> DataFrame:
@@ -50,40 +93,67 @@ def text_units(documents: DataFrame) -> DataFrame:
 
 
 def page_units(pages: DataFrame) -> DataFrame:
-    """ING-1 over HTML: headings and paragraphs, closed or not, tags removed."""
-    blocks = F.regexp_extract_all("html", F.lit(BLOCK), F.lit(1))
+    """ING-1 over HTML: the title, headings, paragraphs and list items, closed or
+    not, in order, with their ``part`` and the page's language ('' if not given).
+
+    Comments, scripts and styles hold no blocks; tags are removed and entities
+    decoded. A block lasts from its opening tag to the next block, to the end of a
+    block, list or article, or to the end of the page. Blank blocks are numbered
+    but left out; a page without HTML has none.
+    """
+    visible = F.regexp_replace("html", HIDDEN, " ")
+
+    def is_block(part: Column) -> Column:
+        return part.rlike(BLOCK_KIND)
+
     lines = pages.select(
         F.col("page_id").alias("doc_id"),
         F.col("url").alias("source"),
-        F.posexplode_outer(blocks).alias("at", "block"),
+        F.lower(F.regexp_extract("html", LANGUAGE, 1)).alias("lang"),
+        # What comes before the first block is a part of its own, or none.
+        F.posexplode_outer(F.filter(F.split(visible, BLOCK), is_block)).alias("at", "block"),
     )
+    kind = F.lower(F.regexp_extract("block", BLOCK_KIND, 1))
+    named = F.lit(None).cast("string")
+    for tag, part in PART_NAMES.items():
+        named = F.when(kind == tag, F.lit(part)).otherwise(named)
     return _filled(
-        lines.select(
+        lines.withColumn("part", named)
+        .where("part IS NOT NULL")
+        .select(
             "doc_id",
             "source",
+            "lang",
+            "part",
             (F.col("at") + 1).cast("bigint").alias("unit_no"),
-            js_trim(F.regexp_replace("block", TAG, " ")).alias("unit"),
+            plain_text(F.regexp_extract("block", BLOCK_TEXT, 1)).alias("unit"),
         )
     )
 
 
 def page_sections(pages: DataFrame) -> DataFrame:
     """ING-1: the text between one heading and the next; section 0 comes before
-    the first heading. Paragraphs count by their opening tags."""
+    the first heading. Paragraphs and list items count by their opening tags."""
+    visible = F.regexp_replace("html", HIDDEN, " ")
     parts = pages.select(
         F.col("page_id").alias("doc_id"),
         F.col("url").alias("source"),
-        F.posexplode_outer(F.split("html", "<h1>")).alias("section_no", "part"),
+        F.posexplode_outer(F.split(visible, HEADING)).alias("section_no", "part"),
     ).where("part IS NOT NULL")
     titled = F.col("section_no") > 0
-    heading = F.regexp_extract("part", r"(?s)\A" + UNTIL_END, 1)
+    heading = F.regexp_extract("part", r"(?is)\A" + UNTIL_END, 1)
     title = F.when(titled, heading).otherwise(F.lit(""))
+
+    def opened(tag: str) -> Column:
+        return (F.size(F.split("part", tag)) - 1).cast("bigint")
+
     return parts.select(
         "doc_id",
         "source",
         F.col("section_no").cast("bigint").alias("section_no"),
-        js_trim(F.regexp_replace(title, TAG, " ")).alias("title"),
-        (F.size(F.split("part", "<p>")) - 1).cast("bigint").alias("n_paragraphs"),
+        plain_text(title).alias("title"),
+        opened(PARAGRAPH).alias("n_paragraphs"),
+        opened(ITEM).alias("n_items"),
     )
 
 

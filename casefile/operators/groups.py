@@ -177,6 +177,9 @@ def gather_pages(
 def broadcast_within(df: DataFrame, probe: DataFrame, max_rows: int) -> DataFrame:
     """Marks ``df`` for broadcast if ``probe``, whose length bounds it, has at
     most ``max_rows`` rows; otherwise the join is left to shuffle."""
-    if probe.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    return F.broadcast(df) if fits(probe, max_rows) else df
+
+
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """Whether ``df`` has at most ``max_rows`` rows; no more than that are counted."""
+    return df.limit(max_rows + 1).count() <= max_rows

@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,13 +12,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casefile.functions.text import tokens
-from casefile.operators.groups import broadcast_within
+from casefile.operators.groups import fits
 from casefile.operators.trace import RULES
+from casefile.sources.sinks import materialized
 
 K1 = 1.2
 B = 0.75
 FUSION_OFFSET = 60
 TOP_K = 10
+Small = Callable[[DataFrame], DataFrame]
+# Rare tokens of a question are taken until their lists hold so many times k rows.
+PROBE_DOCUMENTS = 4
+SLACK = 2e-6
+# Idle tokens may reach this share of the threshold: the smaller it is, the more
+# rows are added up before the pruning, and the fewer are completed after it.
+IDLE_SHARE = 0.5
 # Beyond these sizes the query side is not broadcast (tokens) or is taken in
 # several passes over the passages (vectors).
 MAX_BROADCAST_TOKENS = 500_000
@@ -36,53 +44,109 @@ def top_k(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k).select(query, item, rank)
 
 
-def lexical_scores(
-    documents: DataFrame, questions: DataFrame, query: str, item: str
-) -> DataFrame:
-    """RET-1: BM25 of every (question, document) pair that shares a token.
-
-    A document's tokens are cut to those of the questions, by a broadcast whose
-    length is checked, and counted before the shuffle by document, so only matched
-    (document, token, count) rows move. Document frequencies and the sums per
-    (question, document) reuse that shuffle; the corpus averages take a pass of
-    their own without one. ``explode_outer``, because a plain explode makes Spark
-    filter on the array's size, which tokenizes once more.
-    """
-    asked = questions.select(
-        query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")
-    )
+def token_counts(documents: DataFrame, vocabulary: DataFrame, item: str) -> DataFrame:
+    """(item, token, tf, n_words) of every document and each token of
+    ``vocabulary`` in it, and one row with the token '' for the document itself.
 
-    def small(side: DataFrame) -> DataFrame:
-        return broadcast_within(side, asked, MAX_BROADCAST_TOKENS)
-
-    vocabulary = small(asked.select("token").distinct())
+    One pass over the texts: a document's tokens are cut to the vocabulary and
+    counted before the shuffle by (document, token), so only matched rows move.
+    """
     words = documents.select(item, tokens(F.col("text")).alias("words"))
-    corpus = words.select(item, "words", F.size("words").alias("n_words"))
-    counts = (
-        corpus.select(item, "n_words", F.explode_outer("words").alias("token"))
-        .join(vocabulary, "token", "left_semi")
-        .groupBy(item, "n_words", "token")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    frequencies = counts.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    sizes = corpus.groupBy().agg(
-        F.struct(
-            F.count(F.lit(1)).alias("total"), F.avg("n_words").alias("average")
-        ).alias("sizes")
+    listed = F.concat(F.array(F.lit("")), F.coalesce("words", F.array().cast("array<string>")))
+    corpus = words.select(item, F.size("words").alias("n_words"), F.explode(listed).alias("token"))
+    whole = documents.sparkSession.range(1).select(F.lit("").alias("token"))
+    kept = corpus.join(vocabulary.unionByName(whole), "token", "left_semi")
+    return kept.groupBy(item, "token").agg(
+        F.count(F.lit(1)).alias("tf"), F.max("n_words").alias("n_words")
     )
-    total, average = sizes.scalar()["total"], sizes.scalar()["average"]
 
+
+def impacts(counts: DataFrame, item: str) -> tuple[DataFrame, DataFrame]:
+    """(item, token, block, part): what a token adds to the BM25 score of a document,
+    but for its idf. A block holds the documents of like length, from a power of two
+    words to the next. And (token, block, df, idf, most): in how many documents the
+    token is, its idf, and the most that it adds to a score in the block."""
+    size = F.struct(F.count(F.lit(1)).alias("total"), F.avg("n_words").alias("average"))
+    whole = counts.where("token = ''").groupBy().agg(size.alias("size"))
+    total, average = whole.scalar()["total"], whole.scalar()["average"]
+    length_norm = K1 * (1 - B + B * F.col("n_words") / average)
+    part = F.col("tf") * (K1 + 1) / (F.col("tf") + length_norm)
+    block = F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int")
+    table = counts.where("token <> ''").select(item, "token", block.alias("block"), part.alias("part"))
+    blocks = table.groupBy("token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("most"))
     df = F.col("df")
-    weights = asked.join(frequencies, "token").select(
-        query, "token", F.log(1 + (total - df + 0.5) / (df + 0.5)).alias("idf")
+    weighted = blocks.withColumn("df", F.sum("n").over(W.partitionBy("token"))).withColumn(
+        "idf", F.log(1 + (total - df + 0.5) / (df + 0.5))
     )
-    length_norm = K1 * (1 - B + B * F.col("n_words") / average)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length_norm)
-    return (
-        counts.join(small(weights), "token")
-        .groupBy(query, item)
-        .agg(F.round(F.sum(part), 6).alias("score"))
+    return table, weighted.select("token", "block", "df", "idf", (F.col("idf") * F.col("most")).alias("most"))
+
+
+def asked_tokens(questions: DataFrame, query: str) -> DataFrame:
+    """(question, token) of the distinct tokens of each question."""
+    return questions.select(query, F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+
+
+def bounded_scores(
+    postings: DataFrame, terms: DataFrame, query: str, item: str, k: int, small: Small = F.broadcast
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of the documents that can be among the ``k`` best of a question, and
+    the (question, document, partial) rows that were added up to find them.
+    ``terms`` has the questions' tokens with their bounds by block.
+
+    Exact, by bounds on scores. Each question's rarest tokens find ``k`` documents,
+    whose full scores give a threshold that the ``k`` best reach. In a block, tokens
+    that together cannot reach the threshold are idle: a document of the block with
+    no other token of the question cannot be among the best and is never looked at,
+    so the long lists of common tokens are not expanded, and blocks in which all
+    tokens are idle are skipped. Of the others, those stay whose part from the other
+    tokens and the bound of the idle ones reach the threshold; only for them the idle
+    tokens are looked up, by (document, token). A question that fewer than ``k``
+    documents match has no threshold and is scored in full. ``small`` marks
+    question-side tables for broadcast where their size allows it.
+    """
+    asked = terms.groupBy(query, "token").agg(F.max("df").alias("df"), F.max("idf").alias("idf"))
+    rarest = W.partitionBy(query).orderBy("df", "token").rowsBetween(W.unboundedPreceding, -1)
+    asked = asked.withColumn("before", F.coalesce(F.sum("df").over(rarest), F.lit(0)))
+    impact = (F.col("idf") * F.col("part")).alias("partial")
+
+    def completed(found: DataFrame, rest: DataFrame, keys: list[str], few: bool) -> DataFrame:
+        """Adds what the tokens ``rest`` of their question bring to each pair."""
+        probes = found.join(small(rest), keys).select(query, item, "token", "idf")
+        probes = F.broadcast(probes) if few else probes
+        more = postings.join(probes, [item, "token"]).select(query, item, impact)
+        both = found.select(query, item, "partial").unionByName(more)
+        return both.groupBy(query, item).agg(F.sum("partial").alias("partial"))
+
+    probing = F.col("before") < PROBE_DOCUMENTS * k
+    order = W.partitionBy(query).orderBy(F.desc("partial"), item)
+    rare = asked.where(probing).select(query, "token", "idf")
+    first = postings.join(small(rare), "token").select(query, item, impact)
+    first = first.groupBy(query, item).agg(F.sum("partial").alias("partial"))
+    first = first.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    reached = completed(
+        first, asked.where(~probing).select(query, "token", "idf"), [query], fits(asked, MAX_BROADCAST_TOKENS // k)
+    )
+    least = F.when(F.count(F.lit(1)) >= k, F.min("partial"))
+    thresholds = reached.groupBy(query).agg(least.alias("threshold")).where("threshold IS NOT NULL")
+
+    weakest = W.partitionBy(query, "block").orderBy("most", "token").rowsBetween(W.unboundedPreceding, 0)
+    judged = terms.join(thresholds, query, "left").withColumn("upto", F.sum("most").over(weakest))
+    # Scores are compared after rounding to six places.
+    judged = judged.withColumn("idle", F.coalesce(F.col("upto") < IDLE_SHARE * F.col("threshold") - SLACK, F.lit(False)))
+    rest = F.coalesce(F.max(F.when(F.col("idle"), F.col("upto"))).over(W.partitionBy(query, "block")), F.lit(0.0))
+    judged = materialized(judged.withColumn("rest", rest), "judged-terms")
+    chosen = judged.where("NOT idle").select(query, "token", "block", "idf", "threshold", "rest")
+    matched = postings.join(small(chosen), ["token", "block"])
+    partial = matched.groupBy(query, item, "block").agg(
+        F.sum(F.col("idf") * F.col("part")).alias("partial"), F.max("threshold").alias("threshold"), F.max("rest").alias("rest")
     )
+    able = F.col("partial") + F.col("rest") >= F.col("threshold") - SLACK
+    kept = partial.where(F.col("threshold").isNull() | able)
+    kept = materialized(kept.select(query, item, "block", "partial"), "candidates")
+    idle = judged.where("idle").select(query, "token", "block", "idf")
+    few = fits(kept.join(idle, [query, "block"]), MAX_BROADCAST_TOKENS)
+    full = completed(kept, idle, [query, "block"], few)
+    return full.select(query, item, F.round("partial", 6).alias("score")), partial
 
 
 def lexical_top_k(
@@ -92,8 +156,24 @@ def lexical_top_k(
     item: str = "doc_id",
     k: int = TOP_K,
 ) -> DataFrame:
-    """RET-1, SRT-4."""
-    return top_k(lexical_scores(documents, questions, query, item), query, item, k)
+    """RET-1, SRT-4: the ``k`` documents with the highest BM25 score per question.
+
+    The questions' tokens are broadcast behind a check of their number; beyond it
+    the same joins shuffle.
+    """
+    asked = asked_tokens(questions, query)
+    few = fits(asked, MAX_BROADCAST_TOKENS)
+
+    def small(side: DataFrame) -> DataFrame:
+        return F.broadcast(side) if few else side
+
+    # The list of postings is read several times, the texts once.
+    vocabulary = small(asked.select("token").distinct())
+    counts = materialized(token_counts(documents, vocabulary, item), "postings")
+    postings, bounds = impacts(counts, item)
+    terms = materialized(asked.join(bounds, "token"), "terms")
+    scored, _ = bounded_scores(postings, terms, query, item, k, small)
+    return top_k(scored, query, item, k)
 
 
 def _best_of_block(

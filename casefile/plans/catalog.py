@@ -382,6 +382,7 @@ def structured_answer(spark: SparkSession, folder: str) -> DataFrame:
 
 def content_units(spark: SparkSession, folder: str) -> DataFrame:
     texts = documents.text_units(_documents(spark, folder))
+    texts = texts.withColumns({"lang": F.lit(""), "part": F.lit("line")})
     html = documents.page_units(read_table(spark, folder, "pages"))
     return texts.withColumn("kind", F.lit("document")).unionByName(
         html.withColumn("kind", F.lit("page"))

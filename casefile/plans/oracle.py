@@ -29,6 +29,18 @@ def _words(text: str) -> str:
     return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
 
 
+_HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)"
+
+
+def _shown(html: str) -> str:
+    """Text up to the end of its block, without tags; the entities of the tables."""
+    text = rf"regexp_replace({html}, '(?is)</(?:title|h[1-6]|p|li|ul|ol|nav|article)\s*>.*', '')"
+    text = f"regexp_replace({text}, '<[^>]*>', ' ', 'g')"
+    for name, char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return _trim(text)
+
+
 def _hex(number: str) -> str:
     return f"lpad(lower(hex({number})), 24, '0')"
 
@@ -183,13 +195,22 @@ VIEWS = {
             SELECT doc_id, source, unnest(string_split(text, chr(10))) AS unit,
                    generate_subscripts(string_split(text, chr(10)), 1) AS unit_no
             FROM documents) WHERE length({_trim("unit")}) > 0""",
+    # Pages without what is not shown, every opening tag of a block as a mark, its
+    # name and a second mark.
+    "marked": rf"""
+        SELECT page_id AS doc_id, url AS source,
+               lower(regexp_extract(html, '(?is)<html\b[^>]*?\slang\s*=\s*["'']?([A-Za-z0-9-]+)', 1)) AS lang,
+               regexp_replace(regexp_replace(html, '{_HIDDEN}', ' ', 'g'),
+                   '(?i)<(title|h|p|li)[1-6]?(?:[\s/][^>]*)?>', chr(1) || '\1' || chr(2), 'g') AS html
+        FROM pages""",
     "block": f"""
-        SELECT doc_id, source, unit_no,
-               {_trim("regexp_replace(b, '<[^>]*>', ' ', 'g')")} AS unit FROM (
-            SELECT page_id AS doc_id, url AS source,
-                   unnest(regexp_extract_all(html, '(?s)<(?:h1|p)>(.*?)</(?:h1|p)>', 1)) AS b,
-                   generate_subscripts(regexp_extract_all(html, '(?s)<(?:h1|p)>(.*?)</(?:h1|p)>', 1), 1) AS unit_no
-            FROM pages)""",
+        SELECT doc_id, source, lang, unit_no - 1 AS unit_no,
+               CASE lower(string_split(b, chr(2))[1]) WHEN 'title' THEN 'title' WHEN 'h' THEN 'heading'
+                    WHEN 'p' THEN 'paragraph' ELSE 'item' END AS part,
+               {_shown("string_split(b, chr(2))[2]")} AS unit FROM (
+            SELECT doc_id, source, lang, unnest(string_split(html, chr(1))) AS b,
+                   generate_subscripts(string_split(html, chr(1)), 1) AS unit_no
+            FROM marked) WHERE unit_no > 1""",
     "corpus": f"SELECT doc_id, {_words('text')} AS words FROM documents",
     "posting": """
         SELECT doc_id, n_words, token, count(*) AS tf
@@ -470,17 +491,16 @@ QUERIES = {
                           string_agg(advice, '|' ORDER BY rule) AS advice
                    FROM broken GROUP BY rrn) b USING (rrn)""",
     "content_units": """
-        SELECT doc_id, source, unit_no, unit, 'document' AS kind FROM line
+        SELECT doc_id, source, unit_no, unit, '' AS lang, 'line' AS part, 'document' AS kind FROM line
         UNION ALL
-        SELECT doc_id, source, unit_no, unit, 'page' FROM block WHERE length(unit) > 0""",
+        SELECT doc_id, source, unit_no, unit, lang, part, 'page' FROM block WHERE length(unit) > 0""",
     "document_sections": rf"""
         SELECT doc_id, source, n - 1 AS section_no,
-               CASE WHEN n = 1 THEN '' ELSE
-                   {_trim("regexp_replace(string_split(part, '</h1>')[1], '<[^>]*>', ' ', 'g')")}
-               END AS title,
-               len(regexp_extract_all(part, '(?s)<p>(.*?)</p>')) AS n_paragraphs
-        FROM (SELECT page_id AS doc_id, url AS source, unnest(string_split(html, '<h1>')) AS part,
-                     generate_subscripts(string_split(html, '<h1>'), 1) AS n FROM pages)""",
+               CASE WHEN n = 1 THEN '' ELSE {_shown("string_split(part, chr(1))[1]")} END AS title,
+               len(string_split(part, chr(1) || 'p' || chr(2))) - 1 AS n_paragraphs,
+               len(string_split(part, chr(1) || 'li' || chr(2))) - 1 AS n_items
+        FROM (SELECT doc_id, source, unnest(string_split(html, chr(1) || 'h' || chr(2))) AS part,
+                     generate_subscripts(string_split(html, chr(1) || 'h' || chr(2)), 1) AS n FROM marked)""",
     "document_facts": r"""
         SELECT doc_id, source, kind, unnest(found) AS value, generate_subscripts(found, 1) AS fact_no
         FROM (SELECT doc_id, source, 'number' AS kind,

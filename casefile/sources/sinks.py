@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casefile.session import work_dir
+
 
 def append_rows(rows: DataFrame, path: str) -> None:
     """SNK-1, SNK-2: adds validated rows to a table."""
@@ -26,3 +28,12 @@ def write_text_report(report: DataFrame, path: str) -> None:
     """SNK-4: one JSON text per line, for plain-text readers."""
     columns = F.struct(*[F.col(c) for c in report.columns])
     report.select(F.to_json(columns).alias("value")).write.text(path)
+
+
+def materialized(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written to the session's shared folder and read again, for results
+    that later steps read several times: a lost executor costs none of them."""
+    spark = df.sparkSession
+    folder = work_dir(spark, purpose)
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
