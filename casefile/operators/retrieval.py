@@ -3,7 +3,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +27,12 @@ SLACK = 2e-6
 # Idle tokens may reach this share of the threshold: the smaller it is, the more
 # rows are added up before the pruning, and the fewer are completed after it.
 IDLE_SHARE = 0.5
-# Beyond these sizes the query side is not broadcast (tokens) or is taken in
-# several passes over the passages (vectors).
+# Beyond this size the query side is not broadcast.
 MAX_BROADCAST_TOKENS = 500_000
+# Questions and vector elements of passages in one cell of the grid.
 MAX_BLOCK_QUERIES = 8192
-# Questions whose scores against one record batch are held at the same time.
+MAX_CELL_NUMBERS = 1 << 23
+# Questions whose scores against one cell are held at the same time.
 SCORED_AT_ONCE = 256
 
 
@@ -176,44 +177,46 @@ def lexical_top_k(
     return top_k(scored, query, item, k)
 
 
-def _best_of_block(
-    query_ids: np.ndarray, query_matrix: np.ndarray, query: str, item: str, k: int
-):
-    """A map over record batches that keeps the ``k`` best items per query."""
-    width = query_matrix.shape[1]
-
-    def candidates(start: int, ids: np.ndarray, matrix: np.ndarray):
-        """Items of one batch that are among its best ``k``, ties included."""
-        rows = slice(start, start + SCORED_AT_ONCE)
-        scores = np.round(query_matrix[rows] @ matrix.T, 6)
-        scores[query_ids[rows, None] == ids[None, :]] = -np.inf
-        cut = max(len(ids) - k, 0)
-        floor = np.partition(scores, cut, axis=1)[:, cut]
-        places, columns = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
-        return places + start, ids[columns], scores[places, columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            values = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            matrix = values.astype(np.float64).reshape(len(ids), width)
-            starts = range(0, len(query_ids), SCORED_AT_ONCE)
-            found = [candidates(start, ids, matrix) for start in starts]
-            places, items, scores = map(np.concatenate, zip(best, *found))
-            order = np.lexsort((items, -scores, places))
-            places, items, scores = places[order], items[order], scores[order]
-            rank = np.arange(len(places)) - np.searchsorted(places, places)
-            best = places[rank < k], items[rank < k], scores[rank < k]
-        places, items, scores = best
-        arrays = [pa.array(query_ids[places]), pa.array(items), pa.array(scores)]
-        yield pa.RecordBatch.from_arrays(arrays, names=[query, item, "score"])
+def _best_of_cell(query: str, item: str, k: int):
+    """A map over the passages and the questions of a cell that keeps the ``k``
+    best items per query."""
+
+    def matrix(table: pa.Table, ids: str) -> tuple[np.ndarray, np.ndarray]:
+        names = table.column(ids).to_numpy()
+        values = table.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        return names.astype(np.int64), values.astype(np.float64).reshape(len(names), -1)
+
+    def run(passages: pa.Table, questions: pa.Table) -> pa.Table:
+        found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        if passages.num_rows and questions.num_rows:
+            items, vectors = matrix(passages, item)
+            asked, wanted = matrix(questions, query)
+            for start in range(0, len(asked), SCORED_AT_ONCE):
+                ids = asked[start : start + SCORED_AT_ONCE]
+                scores = np.round(wanted[start : start + SCORED_AT_ONCE] @ vectors.T, 6)
+                scores[(ids[:, None] == items[None, :]) | ~np.isfinite(scores)] = -np.inf
+                cut = max(len(items) - k, 0)
+                floor = np.partition(scores, cut, axis=1)[:, cut]
+                rows, columns = np.nonzero((scores >= floor[:, None]) & np.isfinite(scores))
+                # Ties beyond the k-th go by the smaller id.
+                order = np.lexsort((items[columns], -scores[rows, columns], rows))
+                rows, columns = rows[order], columns[order]
+                best = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                rows, columns = rows[best], columns[best]
+                found.append((ids[rows], items[columns], scores[rows, columns]))
+        columns = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+        return pa.Table.from_arrays(columns, names=[query, item, "score"])
 
     return run
 
 
+def _sizes(vectors: DataFrame) -> Column:
+    """A map from width to the number of vectors, as a value within the plan."""
+    counts = vectors.groupBy(F.size("embedding").alias("width")).agg(F.count(F.lit(1)).alias("n"))
+    entries = F.map_from_entries(F.collect_list(F.struct("width", "n")))
+    return counts.groupBy().agg(entries.alias("sizes")).scalar()
+
+
 def vector_top_k(
     passages: DataFrame,
     questions: DataFrame,
@@ -221,32 +224,55 @@ def vector_top_k(
     item: str = "vec_id",
     k: int = TOP_K,
     block_queries: int = MAX_BLOCK_QUERIES,
+    cell_numbers: int = MAX_CELL_NUMBERS,
 ) -> DataFrame:
     """RET-2, SRT-4: the passages with the largest dot product per question,
     never the one with the question's own id.
 
-    Each task multiplies its passages with a block of question vectors and
-    emits only ``k`` rows per question, so pairs are never rows. Questions are
-    cut by hash into blocks of bounded size, each matched in its own pass.
+    A product of blocks on a grid: questions are dealt by hash to blocks of about
+    ``block_queries``, passages to chunks of about ``cell_numbers`` vector elements,
+    and a cell of the grid multiplies one block with one chunk. Both sides meet by an
+    equi-join on the cell, a chunk is sent once per block, and a cell emits ``k``
+    rows per question, so pairs are never rows. Vectors meet those of their own
+    width; ``vector_widths`` tells which widths have no partner. Null vectors and
+    vectors with null or non-finite elements match nothing. Nothing runs before the
+    result is asked for, and the driver sees no vector.
     """
-    filled = questions.where(F.col("embedding").isNotNull()).select(query, "embedding")
-    n_blocks = 1 + 2 * filled.count() // block_queries
-    block = F.pmod(F.xxhash64(query), F.lit(n_blocks))
+    asked = questions.where(F.col("embedding").isNotNull()).select(query, "embedding")
+    stored = passages.where(F.col("embedding").isNotNull()).select(item, "embedding")
+    width = F.size("embedding")
+    n_asked = F.try_element_at(_sizes(asked), width)
+    n_stored = F.try_element_at(_sizes(stored), width)
+    blocks = F.ceil(n_asked / F.lit(block_queries))
+    chunks = F.ceil(n_stored * F.greatest(width, F.lit(1)) / F.lit(cell_numbers))
+
+    def dealt(rows: DataFrame, own: str, parts: Column, other: str, copies: Column) -> DataFrame:
+        part = F.pmod(F.xxhash64(rows.columns[0], "embedding"), F.col("own")).alias(own)
+        counted = rows.select("*", width.alias("width"), parts.alias("own"), copies.alias("copies"))
+        every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("copies") - 1)).alias(other)
+        both = counted.where("own IS NOT NULL AND copies IS NOT NULL")
+        return both.select(*rows.columns, "width", part, every)
+
+    cells = ["width", "block", "chunk"]
+    left = dealt(stored, "chunk", chunks, "block", blocks).groupBy(*cells)
+    right = dealt(asked, "block", blocks, "chunk", chunks).groupBy(*cells)
     schema = f"{query} bigint, {item} bigint, score double"
-    scored = passages.sparkSession.createDataFrame([], schema)
-    for number in range(n_blocks):
-        rows = filled.where(block == number).toArrow()
-        if rows.num_rows == 0:
-            continue
-        ids = rows.column(0).to_numpy().astype(np.int64)
-        vectors = np.array(rows.column(1).to_pylist(), dtype=np.float64)
-        same_width = passages.where(F.size("embedding") == vectors.shape[1])
-        best = _best_of_block(ids, vectors, query, item, k)
-        matched = same_width.select(item, "embedding").mapInArrow(best, schema)
-        scored = scored.unionByName(matched)
+    scored = left.cogroup(right).applyInArrow(_best_of_cell(query, item, k), schema)
     return top_k(scored, query, item, k)
 
 
+def vector_widths(passages: DataFrame, questions: DataFrame) -> DataFrame:
+    """(width, n_passages, n_questions) of every vector width of either side; a width
+    with a zero has no partner and is in no result. Null vectors have width -1."""
+    width = F.coalesce(F.size("embedding"), F.lit(-1)).cast("bigint").alias("width")
+    zero = F.lit(0).cast("bigint")
+    one = F.lit(1).cast("bigint")
+    both = passages.select(width, one.alias("p"), zero.alias("q")).unionByName(
+        questions.select(width, zero.alias("p"), one.alias("q"))
+    )
+    return both.groupBy("width").agg(F.sum("p").alias("n_passages"), F.sum("q").alias("n_questions"))
+
+
 def fuse(
     lexical: DataFrame,
     vector: DataFrame,

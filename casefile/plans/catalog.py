@@ -407,14 +407,16 @@ def _lexical(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def _vector(spark: SparkSession, folder: str) -> DataFrame:
+def _question_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """A question's vector is the embedding with its id (FIXTURES section 3.10)."""
-    vectors = read_table(spark, folder, "embeddings")
     items = _benchmark(spark, folder).select(F.col("item_id").alias("vec_id"))
-    questions = vectors.join(items, "vec_id", "left_semi").select(
-        F.col("vec_id").alias("item_id"), "embedding"
-    )
-    return retrieval.vector_top_k(vectors, questions)
+    questions = read_table(spark, folder, "embeddings").join(items, "vec_id", "left_semi")
+    return questions.select(F.col("vec_id").alias("item_id"), "embedding")
+
+
+def _vector(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return retrieval.vector_top_k(vectors, _question_vectors(spark, folder))
 
 
 def lexical_topk(spark: SparkSession, folder: str) -> DataFrame:
@@ -425,6 +427,11 @@ def vector_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _vector(spark, folder)
 
 
+def vector_widths(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = read_table(spark, folder, "embeddings")
+    return retrieval.vector_widths(vectors, _question_vectors(spark, folder))
+
+
 def evidence_fusion(spark: SparkSession, folder: str) -> DataFrame:
     vector = _vector(spark, folder).withColumnRenamed("vec_id", "doc_id")
     fused = retrieval.fuse(_lexical(spark, folder), vector)
@@ -532,6 +539,7 @@ QUERIES: tuple[Query, ...] = (
     function_catalog,
     lexical_topk,
     vector_topk,
+    vector_widths,
     evidence_fusion,
     anomaly_evidence,
     stream_message_append,

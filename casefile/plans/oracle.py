@@ -519,6 +519,10 @@ QUERIES = {
         WHERE key IS NOT NULL GROUP BY key""",
     "lexical_topk": "SELECT item_id, doc_id, rank FROM lexrank",
     "vector_topk": "SELECT item_id, vec_id, rank FROM vecrank",
+    "vector_widths": """
+        SELECT coalesce(len(e.embedding), -1) AS width, count(*) AS n_passages,
+               count(*) FILTER (WHERE e.vec_id IN (SELECT item_id FROM benchmark)) AS n_questions
+        FROM embeddings e GROUP BY 1""",
     "evidence_fusion": """
         SELECT item_id, doc_id, lexical_rank, vector_rank, rank, coalesce(source, '') AS source
         FROM (

@@ -535,28 +535,37 @@ def test_common_tokens_are_not_expanded(spark):
     assert scored.count() < sharing.count() / 5
 
 
-@pytest.mark.parametrize("block_queries", [3, 8192])
-def test_vector_matches_brute_force(spark, monkeypatch, block_queries):
-    """With one and with several passes, few rows per batch, and equal scores."""
+@pytest.mark.parametrize(("block_queries", "cell_numbers"), [(3, 16), (3, 1 << 23), (8192, 16), (8192, 1 << 23)])
+def test_vector_matches_brute_force(spark, monkeypatch, block_queries, cell_numbers):
+    """With one and with many cells, equal scores, odd widths and bad elements."""
     monkeypatch.setattr(retrieval, "SCORED_AT_ONCE", 2)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     random = np.random.default_rng(5)
     vectors = random.integers(-2, 3, (60, 4)).astype(float)
     passages = spark.createDataFrame(
         [(i, v.tolist()) for i, v in enumerate(vectors)]
-        + [(60, None), (61, [1.0])],
+        + [(60, None), (61, [1.0]), (62, [1.0, None, 1.0, 1.0]), (63, [float("nan")] * 4), (64, [])],
         "vec_id long, embedding array<float>",
     )
-    questions = passages.where("vec_id < 9").withColumnRenamed("vec_id", "item_id")
-    found = retrieval.vector_top_k(passages, questions, k=5, block_queries=block_queries)
+    questions = passages.where("vec_id < 9 OR vec_id > 59").withColumnRenamed("vec_id", "item_id")
+    questions = questions.unionByName(
+        spark.createDataFrame([(70, [1.0, 2.0]), (71, None)], "item_id long, embedding array<float>")
+    )
+    group = f"planned-{block_queries}-{cell_numbers}"
+    spark.sparkContext.setJobGroup(group, "vector_top_k")
+    found = retrieval.vector_top_k(passages, questions, "item_id", "vec_id", 5, block_queries, cell_numbers)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup(group)
     rows = found.collect()
-    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.item_id for r in rows} == set(range(9))
     for item in range(9):
         scores = vectors @ vectors[item]
         others = [i for i in range(60) if i != item]
         best = sorted(others, key=lambda i: (-scores[i], i))[:5]
         mine = sorted((r.rank, r.vec_id) for r in rows if r.item_id == item)
         assert [vec for _, vec in mine] == best
+    widths = retrieval.vector_widths(passages, questions).orderBy("width").collect()
+    assert [tuple(r) for r in widths] == [(-1, 1, 2), (0, 1, 1), (1, 1, 1), (2, 0, 1), (4, 62, 11)]
+    assert retrieval.vector_top_k(passages.where("false"), questions).collect() == []
 
 
 def test_fusion(spark):
