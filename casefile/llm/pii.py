@@ -11,6 +11,8 @@ and ``split`` the text between them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,8 @@ CONTEXT = {
     "secret": r"token|secret|passw|api|credential|\bkey\b",
 }
 NEAR_CHARS = 40
+BLOCK = 4096
+PART = 256
 START_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "secret": 0.3}
 CONTEXT_SCORE = 0.3
 SPAN = "struct<kind:string,rank:int,start:int,end:int,score:double>"
@@ -92,21 +96,47 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _found(text: Column, kind: str) -> Column:
-    """Array of spans of one kind, in order; validated."""
+def _blocks(text: Column) -> Column:
+    """``text`` in blocks of BLOCK characters, so that a place in a long text is
+    reached without counting from its beginning."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+
+
+def _piece(blocks: Column, start: Column, size: Column) -> Column:
+    """``size`` characters from ``start`` on, counted from 0."""
+    first = F.call_function("div", start, F.lit(BLOCK)).cast("int")
+    number = F.call_function("div", start % BLOCK + size, F.lit(BLOCK)).cast("int") + 1
+    return F.substring(F.array_join(F.slice(blocks, first + 1, number), ""), start % BLOCK + 1, size)
+
+
+def _items(text: Column, kind: str) -> Column:
+    """The matches of a kind with the length of the text before each, in parts of
+    PART; the text after the last match is an item without a value."""
     pattern = PATTERNS[kind]
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
-    items = F.transform(values, lambda v, i: F.struct(v.alias("value"), F.get(gaps, i).alias("gap")))
+    values = F.when(text.rlike(HINTS[kind]), values).otherwise(F.array().cast("array<string>"))
+    between = F.when(F.size(values) > 0, F.split(text, pattern, -1)).otherwise(F.array(text))
+    return F.zip_with(values, between, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap")))
+
+
+def _parts(items: Column) -> Column:
+    last = F.call_function("div", F.size(items) - 1, F.lit(PART)).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * PART + 1, PART))
+
+
+def _part_length(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda at, i: at + i["gap"] + F.coalesce(F.length(i["value"]), F.lit(0)))
+
+
+def _spans_of_part(blocks: Column, part: Column, begin: Column, kind: str) -> Column:
+    """The validated spans of one part of the items, which starts at ``begin``."""
     empty = F.array().cast(f"array<{SPAN}>")
 
     def step(state: Column, item: Column) -> Column:
         start = state["at"] + item["gap"]
-        end = start + F.length(item["value"])
+        end = start + F.coalesce(F.length(item["value"]), F.lit(0))
         left = F.greatest(start - NEAR_CHARS, F.lit(0))
-        near = F.concat(
-            F.substring(text, left + 1, start - left), F.lit(" "), F.substring(text, end + 1, F.lit(NEAR_CHARS))
-        )
+        near = F.concat(_piece(blocks, left, start - left), F.lit(" "), _piece(blocks, end, F.lit(NEAR_CHARS)))
         score = F.lit(START_SCORE[kind]) + F.when(
             F.lower(near).rlike(CONTEXT[kind]), F.lit(CONTEXT_SCORE)
         ).otherwise(F.lit(0.0))
@@ -114,13 +144,12 @@ def _found(text: Column, kind: str) -> Column:
             F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"),
             start.alias("start"), end.alias("end"), score.alias("score"),
         ).cast(SPAN)
-        valid = F.coalesce(_valid(kind, item["value"]), F.lit(False))
+        valid = item["value"].isNotNull() & F.coalesce(_valid(kind, item["value"]), F.lit(False))
         spans = F.when(valid, F.array_append(state["spans"], span)).otherwise(state["spans"])
         return F.struct(end.alias("at"), spans.alias("spans"))
 
-    begin = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    spans = F.aggregate(items, begin, step, lambda state: state["spans"])
-    return F.when(text.rlike(HINTS[kind]), spans).otherwise(empty)
+    state = F.struct(begin.alias("at"), empty.alias("spans"))
+    return F.aggregate(part, state, step, lambda s: s["spans"])
 
 
 def with_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -132,7 +161,26 @@ def with_spans(docs: DataFrame, least: float = 0.5) -> DataFrame:
     spans. Every row is kept, repeats too; a column named ``pii`` is replaced.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = docs.drop("pii").select("*", *(_found(text, k).alias(f"__{k}") for k in KINDS))
+    # A fold copies what it carries at every step, so it only ever carries a part of
+    # the spans; the parts' lengths give their places. Each step is a column of its
+    # own, because a lambda evaluates the expressions that it names anew each time.
+    kinds = {k: f"__{k}" for k in KINDS}
+    cut = docs.drop("pii").withColumn("__blocks", _blocks(text))
+    cut = cut.withColumns({c: _items(text, k) for k, c in kinds.items()})
+    cut = cut.withColumns({c: _parts(F.col(c)) for c in kinds.values()})
+    cut = cut.withColumns({f"{c}_sizes": F.transform(c, _part_length) for c in kinds.values()})
+
+    def spans_of(kind: str) -> Column:
+        sizes = F.col(f"{kinds[kind]}_sizes")
+
+        def part_spans(part: Column, k: Column) -> Column:
+            begin = F.aggregate(F.slice(sizes, 1, k), F.lit(0), lambda at, size: at + size)
+            return _spans_of_part(F.col("__blocks"), part, begin, kind)
+
+        return F.flatten(F.transform(kinds[kind], part_spans))
+
+    found = cut.withColumns({c: spans_of(k) for k, c in kinds.items()})
+    found = found.drop("__blocks", *(f"{c}_sizes" for c in kinds.values()))
     # Each kind is computed once and only then put together.
     added = F.filter(F.concat(*(F.col(f"__{k}") for k in KINDS if k not in BASE)), lambda s: s["score"] >= least)
     spans = F.concat(*(F.col(f"__{k}") for k in BASE), added)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 
 from casefile.llm import pii
 
@@ -91,3 +92,22 @@ def test_added_kinds_and_redaction(spark):
 
 def test_empty_table(spark):
     assert pii.digest(spark.createDataFrame([], "doc_id bigint, text string")).collect() == []
+
+
+def test_long_dense_texts_take_time_in_proportion(spark):
+    """100,000 plain numbers and 20,000 addresses in one text; spans at the far end."""
+    numbers = " ".join(str(1000 + i % 9000) for i in range(100_000))
+    addresses = " ".join(f"a{i}@b{i}.org" for i in range(20_000))
+    tail = " é call +49 30 1234567"
+    docs = spark.createDataFrame([(1, numbers + tail), (2, addresses + tail)], "doc_id int, text string")
+    began = time.perf_counter()
+    rows = {r.doc_id: r for r in pii.digest(docs).collect()}
+    assert time.perf_counter() - began < 120
+    places, place = [], 0
+    for word in addresses.split():
+        places.append(f"email:{place}:{place + len(word)}")
+        place += len(word) + 1
+    assert rows[2].spans.split(",")[:20_000] == places
+    at = len(numbers) + len(" é call ")
+    assert rows[1].spans == f"phone:{at}:{at + 14}"
+    assert (rows[2].n_email, rows[2].n_phone) == (20_000, 1)
