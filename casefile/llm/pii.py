@@ -99,7 +99,8 @@ def _valid(kind: str, value: Column) -> Column:
 def _blocks(text: Column) -> Column:
     """``text`` in blocks of BLOCK characters, so that a place in a long text is
     reached without counting from its beginning."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(F.octet_length(text) <= BLOCK, F.array(text)).otherwise(cut)
 
 
 def _piece(blocks: Column, start: Column, size: Column) -> Column:
@@ -114,14 +115,17 @@ def _items(text: Column, kind: str) -> Column:
     PART; the text after the last match is an item without a value."""
     pattern = PATTERNS[kind]
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    values = F.when(text.rlike(HINTS[kind]), values).otherwise(F.array().cast("array<string>"))
-    between = F.when(F.size(values) > 0, F.split(text, pattern, -1)).otherwise(F.array(text))
-    return F.zip_with(values, between, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap")))
+    between = F.split(text, pattern, -1)
+    items = F.zip_with(values, between, lambda v, g: F.struct(v.alias("value"), F.length(g).alias("gap")))
+    nothing = F.array(F.struct(F.lit(None).cast("string").alias("value"), F.lit(0).alias("gap")))
+    return F.when(text.rlike(HINTS[kind]), items).otherwise(nothing)
 
 
 def _parts(items: Column) -> Column:
+    """Items without a match, as most texts have them, stay one part."""
     last = F.call_function("div", F.size(items) - 1, F.lit(PART)).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * PART + 1, PART))
+    cut = F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * PART + 1, PART))
+    return F.when(F.size(items) <= PART, F.array(items)).otherwise(cut)
 
 
 def _part_length(part: Column) -> Column:
