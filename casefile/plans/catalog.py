@@ -467,14 +467,16 @@ def stream_message_append(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def stream_conversation_touch(spark: SparkSession, folder: str) -> DataFrame:
-    heads = _heads(spark, folder)
+    def heads() -> DataFrame:
+        return _heads(spark, folder)
+
     turns = stream_table(spark, folder, "conversations", CONVERSATION_TURN)
     target = work_dir(spark, "touch")
     query = message_stream.append_messages(
         views.incoming_messages(turns), heads, target
     )
     query.awaitTermination()
-    touched = message_stream.read_touched(spark, target, heads)
+    touched = message_stream.read_touched(spark, target, heads())
     return _times_as_text(touched.select("id", "created_at", "updated_at"))
 
 

@@ -13,16 +13,15 @@ from casefile.operators.chat import accepted_messages, append_status, last_activ
 
 
 def _stored_before(batch: DataFrame, folder: str, batch_id: int) -> DataFrame:
-    """Ids of the messages of earlier batches, in the batch's span of time: a
-    message that is sent again has the same time, so other files are pruned."""
+    """Ids of the messages of earlier batches. A message may be sent again at any
+    later time and with a new time stamp, so only its id counts; of the stored files
+    no other column is read."""
     spark = batch.sparkSession
-    span = batch.agg(F.min("created_at").alias("low"), F.max("created_at").alias("high")).first()
-    earlier = spark.read.schema("id string, created_at timestamp, batch_id bigint").option(
-        "basePath", f"{folder}/messages"
-    )
-    stored = earlier.parquet(f"{folder}/messages/batch_id=*") if batch_id else spark.createDataFrame([], "id string, created_at timestamp, batch_id bigint")
-    within = F.col("created_at").between(F.lit(span["low"]), F.lit(span["high"]))
-    return stored.where(within & (F.col("batch_id") < batch_id)).select("id")
+    schema = "id string, batch_id bigint"
+    if not batch_id:
+        return spark.createDataFrame([], schema).select("id")
+    stored = spark.read.schema(schema).option("basePath", f"{folder}/messages")
+    return stored.parquet(f"{folder}/messages/batch_id=*").where(F.col("batch_id") < batch_id).select("id")
 
 
 def append_messages(

@@ -80,6 +80,21 @@ def test_resends_are_dropped_across_batches(spark, turns, tmp_path):
     assert rows_of(appended, "id") == rows_of(expected, "id")
 
 
+def test_resend_at_a_new_time_is_stored_once(spark, turns, tmp_path):
+    """The same ids come again in later batches, each time an hour later."""
+    heads = views.conv_heads(turns)
+    sent = views.incoming_messages(turns)
+    expected = chat.accepted_messages(sent, heads)
+    for hour in range(3):
+        late = sent.withColumn("created_at", F.col("created_at") + F.expr(f"interval {hour} hours"))
+        late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    target = str(tmp_path / "out")
+    incoming = stream(spark, sent.schema, str(tmp_path / "in"))
+    messages.append_messages(incoming, heads, target).awaitTermination()
+    appended = messages.read_appended(spark, target, expected.schema)
+    assert rows_of(appended, "id") == rows_of(expected, "id")
+
+
 @pytest.mark.parametrize("in_order", [True, False])
 def test_pairing_in_batches(spark, tmp_path, in_order):
     source, target = str(tmp_path / "in"), str(tmp_path / "out")
