@@ -181,7 +181,9 @@ def _texts(docs: DataFrame, classes: DataFrame, marks: DataFrame) -> DataFrame:
     stand on several rows bring other texts too; those lack the mark."""
     wanted = classes.join(marks, "mark").select(F.col("first").alias("id"), F.col("mark").alias("want"))
     wanted = broadcast_within(wanted, marks, MAX_BROADCAST_IDS)
-    return docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("id"))).select("text", "want")
+    # Other columns of the documents may have any name.
+    texts = docs.select("doc_id", "text")
+    return texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("id"))).select("text", "want")
 
 
 def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:

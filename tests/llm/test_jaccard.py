@@ -61,7 +61,7 @@ def made_rows() -> list[tuple]:
 
 
 def found(spark, rows) -> dict:
-    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id bigint, text string, n int, mark string")
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in rows], "doc_id bigint, text string, id int, want string")
     out = jaccard.similar_components(docs.repartition(4)).collect()
     assert len(out) == len(rows)
     return {r.doc_id: (r.n_shingles, r.component_id) for r in out}
