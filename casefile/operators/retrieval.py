@@ -111,10 +111,15 @@ def bounded_scores(
     impact = (F.col("idf") * F.col("part")).alias("partial")
 
     def completed(found: DataFrame, rest: DataFrame, keys: list[str], few: bool) -> DataFrame:
-        """Adds what the tokens ``rest`` of their question bring to each pair."""
-        probes = found.join(small(rest), keys).select(query, item, "token", "idf")
-        probes = F.broadcast(probes) if few else probes
-        more = postings.join(probes, [item, "token"]).select(query, item, impact)
+        """Adds what the tokens ``rest`` of their question bring to each pair: with few
+        pairs by looking each token up, else by cutting the tokens' rows to the pairs."""
+        if few:
+            probes = F.broadcast(found.join(small(rest), keys).select(query, item, "token", "idf"))
+            more = postings.join(probes, [item, "token"]).select(query, item, impact)
+        else:
+            on = ["token", *(c for c in keys if c != query)]
+            rows = postings.join(small(rest), on).select(query, item, impact)
+            more = rows.join(found.select(query, item), [query, item], "left_semi")
         both = found.select(query, item, "partial").unionByName(more)
         return both.groupBy(query, item).agg(F.sum("partial").alias("partial"))
 
