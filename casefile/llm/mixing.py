@@ -10,6 +10,7 @@ and the others share the rest.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from casefile.llm.graph import saved
@@ -44,19 +45,20 @@ def tempered_targets(cells: DataFrame, temper: dict[str, float] = TEMPER) -> dic
 def rake(cells: DataFrame, targets: dict[str, DataFrame], rounds: int = ROUNDS) -> DataFrame:
     """``cells`` (the dimensions, tokens) with ``weight``, the raked share of each.
 
-    Sums by dimension are combined before the shuffle and joined back; the table
-    of cells is written after every round, so a plan never spans two rounds.
+    Sums by dimension are windows over the cells, a small table, so nothing is
+    joined or broadcast but the targets, once; the table is written after every
+    round, so a plan never spans two rounds.
     """
     whole = cells.agg(F.sum("tokens")).first()[0] or 1
     current = cells.withColumn("weight", F.col("tokens") / whole)
+    for name in DIMENSIONS:
+        current = current.join(targets[name].withColumnRenamed("target", f"target_{name}"), name)
     for _ in range(rounds):
         for name in DIMENSIONS:
-            sums = current.groupBy(name).agg(F.sum("weight").alias("have")).join(targets[name], name)
-            current = current.join(sums, name).select(
-                *DIMENSIONS, "tokens", (F.col("weight") * F.col("target") / F.col("have")).alias("weight")
-            )
+            have = F.sum("weight").over(W.partitionBy(name))
+            current = current.withColumn("weight", F.col("weight") * F.col(f"target_{name}") / have)
         current = saved(current, "raked")
-    return current
+    return current.select(*DIMENSIONS, "tokens", "weight")
 
 
 def probabilities(raked: DataFrame, budget: float = BUDGET, fills: int = FILLS) -> DataFrame:
