@@ -6,15 +6,21 @@ Two sets that are alike enough share a shingle among the first ones of each, the
 prefixes, so only documents that meet in a prefix can link. Where they first meet
 bounds what they can share from there on, which rules out most pairs.
 
-The sets are cut into fragments by the top three bits of the hash. For a pair to
-be checked, each fragment counts its own part of the overlap, and the parts are
-summed by pair.
+The global order is cut into fragments, ranges of ranks that hold about as many
+shingles each. For a pair to be checked, each fragment counts its own part of the
+overlap, and the parts are summed by pair.
+
+Before that, a pair's parities are compared. A set has one bit per bucket, whether
+the bucket holds an odd number of its shingles; bits that differ are at most as many
+as the shingles that only one of both has, so too many of them rule a link out. They
+take a thirtieth of the set, and only what they leave moves whole sets.
 
 Groups of copies are never expanded into pairs. Equal sets are one class from
-the start. Then, round by round, the classes that meet at a shingle are checked
-against a few of them, hubs, unless both are already connected, and what links is
-merged. At last every pair that is still unconnected is checked, so components
-are exact: a skipped pair is one whose ends are connected anyway.
+the start. Then, round by round, the classes that meet at a shingle are compared
+with a few of them, hubs, unless both are already connected; each class is checked
+against the hub whose parities are closest, and what links is merged. At last every
+pair that is still unconnected is checked, so components are exact: a skipped pair
+is one whose ends are connected anyway.
 """
 
 from __future__ import annotations
@@ -41,6 +47,8 @@ MAX_COMMON = 1_000_000
 MAX_BROADCAST_IDS = 1_000_000
 HUB_ROUNDS = 2
 HUBS = 4
+# Parities have two to four bits a shingle up to this many; past it they rule out less.
+MAX_BITS = 1 << 20
 
 
 def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -61,11 +69,32 @@ def _sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return hashes, doc, size, mark.view(np.int64)
 
 
+def _parities(hashes: np.ndarray, doc: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """For every set one bit per bucket: whether it holds an odd number of shingles.
+    A bucket is the low bits of the hash, so halves fold onto each other."""
+    bits = np.clip(2 ** np.ceil(np.log2(np.maximum(2 * size, 1))).astype(np.int64), 64, MAX_BITS)
+    end = np.cumsum(bits)
+    at = (end - bits)[doc] + (hashes & (bits[doc] - 1))
+    odd = np.packbits((np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little").tobytes()
+    return [odd[(b - n) // 8 : b // 8] for b, n in zip(end.tolist(), bits.tolist(), strict=True)]
+
+
+def _apart(one: bytes, other: bytes) -> int:
+    """The bits that differ, the longer folded to the shorter."""
+    x, y = (np.frombuffer(v, np.uint64) for v in (one, other))
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
 def _scan(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds from one pass: (doc_id, n, mark) of every document, and
-    (token, n) of shingles that several sets of a task's window hold."""
+    """Rows of two kinds from one pass: (doc_id, n, mark) of every document, with
+    the parities of its set once per window of a task, and (token, n) of shingles
+    that several sets of a window hold."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, n bigint, mark bigint, token bigint"
+    schema = f"doc_id {kind}, n bigint, mark bigint, token bigint, odd binary"
 
     def common(window: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         token, count = np.unique(np.concatenate(window), return_counts=True)
@@ -80,8 +109,14 @@ def _scan(docs: DataFrame) -> DataFrame:
             token, count = common(window)
             size = len(token)
             return pa.RecordBatch.from_arrays(
-                [pa.nulls(size, id_type), pa.array(count, pa.int64()), pa.nulls(size, pa.int64()), pa.array(token, pa.int64())],
-                names=["doc_id", "n", "mark", "token"],
+                [
+                    pa.nulls(size, id_type),
+                    pa.array(count, pa.int64()),
+                    pa.nulls(size, pa.int64()),
+                    pa.array(token, pa.int64()),
+                    pa.nulls(size, pa.binary()),
+                ],
+                names=["doc_id", "n", "mark", "token", "odd"],
             )
 
         for batch in batches:
@@ -91,11 +126,12 @@ def _scan(docs: DataFrame) -> DataFrame:
                 ids = batch.column(0).slice(at, len(texts))
                 at += len(texts)
                 none = pa.nulls(len(texts), pa.int64())
+                fresh = np.array([m not in seen and not seen.add(m) for m in mark.tolist()], bool)
+                odd = [v if new else None for v, new in zip(_parities(hashes, doc, size), fresh & (size > 0), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(size, pa.int64()), pa.array(mark, pa.int64()), none],
-                    names=["doc_id", "n", "mark", "token"],
+                    [ids, pa.array(size, pa.int64()), pa.array(mark, pa.int64()), none, pa.array(odd, pa.binary())],
+                    names=["doc_id", "n", "mark", "token", "odd"],
                 )
-                fresh = np.array([m not in seen and not seen.add(m) for m in mark.tolist()], bool)
                 window.append(hashes[fresh[doc]])
                 held += len(window[-1])
                 if held >= WINDOW:
@@ -107,13 +143,13 @@ def _scan(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, shared, percent: int) -> DataFrame:
     """(token, mark, n, place): the first shingles of every set, with their place
-    from 0, once per task and set. ``common`` has sorted shingles and their levels."""
-    shared = docs.sparkSession.sparkContext.broadcast(common)
+    from 0, once per task and set. ``shared`` broadcasts sorted shingles, their levels
+    and ranks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (late, levels), seen = shared.value, set()
+        (common, _), seen = shared.value, set()
         for batch in batches:
             for _, texts in in_chunks([None] * batch.num_rows, batch.column(0).to_pylist()):
                 hashes, doc, size, mark = _sets(texts)
@@ -122,11 +158,8 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: i
                 fresh = np.array([m not in seen and not seen.add(m) for m in mark.tolist()], bool)
                 keep = fresh[doc]
                 hashes, doc = hashes[keep], doc[keep]
-                if len(late):
-                    at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
-                    level = np.where(late[at] == hashes, levels[at], 0)
-                    order = np.lexsort((hashes, level, doc))
-                    hashes, doc = hashes[order], doc[order]
+                order = np.lexsort((hashes, _levels(common, hashes), doc))
+                hashes, doc = hashes[order], doc[order]
                 own = np.where(fresh, size, 0)
                 place = np.arange(len(doc)) - (np.cumsum(own) - own)[doc]
                 first = place < (size - (percent * size + 99) // 100 + 1)[doc]
@@ -143,9 +176,28 @@ def _prefixes(docs: DataFrame, common: tuple[np.ndarray, np.ndarray], percent: i
     return docs.select("text").mapInArrow(run, "token bigint, mark bigint, n int, place int")
 
 
-def _segments(docs: DataFrame) -> DataFrame:
+def _ranks(common: tuple[np.ndarray, np.ndarray], counts: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """By level the share of all shingles before it and its own share, from the
+    ``counts`` of common shingles; hashes spread evenly within a level. The counts
+    only balance the fragments: each is a range of the order whatever they are."""
+    own = np.bincount(common[1], weights=counts, minlength=64).astype(float)
+    own[0] = max(total - own.sum(), 0)
+    own /= max(own.sum(), 1)
+    return np.cumsum(own) - own, own
+
+
+def _levels(common: tuple[np.ndarray, np.ndarray], hashes: np.ndarray) -> np.ndarray:
+    late, levels = common
+    if not len(late):
+        return np.zeros(len(hashes), np.int8)
+    at = np.minimum(np.searchsorted(late, hashes), len(late) - 1)
+    return np.where(late[at] == hashes, levels[at], 0)
+
+
+def _segments(docs: DataFrame, order) -> DataFrame:
     """(mark, fragment, part): the shingles of each set by fragment, as sorted
-    8-byte numbers; of ``docs`` with the mark that their set must have."""
+    8-byte numbers; of ``docs`` with the mark that their set must have. ``order``
+    broadcasts the common shingles with their levels and the ranks of the levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +208,13 @@ def _segments(docs: DataFrame) -> DataFrame:
                 right = mark == wanted[at : at + len(texts)]
                 at += len(texts)
                 hashes, doc = hashes[right[doc]], doc[right[doc]]
-                cell = doc * FRAGMENTS + (hashes >> 61) + FRAGMENTS // 2
+                common, (before, own) = order.value
+                level = _levels(common, hashes)
+                rank = before[level] + own[level] * (hashes / 2.0**64 + 0.5)
+                fragment = np.clip((FRAGMENTS * rank).astype(np.int64), 0, FRAGMENTS - 1)
+                by_rank = np.lexsort((hashes, fragment, doc))
+                hashes, doc, fragment = hashes[by_rank], doc[by_rank], fragment[by_rank]
+                cell = doc * FRAGMENTS + fragment
                 starts = np.flatnonzero(np.concatenate(([True], np.diff(cell) != 0))) if len(cell) else np.zeros(0, int)
                 data = hashes.tobytes()
                 ends = np.append(starts[1:], len(cell)) if len(cell) else starts
@@ -221,8 +279,29 @@ def _overlaps(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _near(pairs: DataFrame, parities: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (own, a, b, total) that their parities do not rule out, with the bits
+    that are ``apart``. Linked sets have at most
+    (100 - percent) / (100 + percent) of both sizes that is not shared."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)
+            apart = pa.array([_apart(x, y) for x, y in ends], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), apart], names=["own", "a", "b", "total", "apart"]
+            )
+
+    left = parities.select(F.col("mark").alias("a"), F.col("odd").alias("odd_a"))
+    right = parities.select(F.col("mark").alias("b"), F.col("odd").alias("odd_b"))
+    joined = pairs.join(left, "a").join(right, "b").select("own", "a", "b", "total", "odd_a", "odd_b")
+    measured = joined.mapInArrow(run, "own bigint, a bigint, b bigint, total bigint, apart bigint")
+    return measured.where((100 + percent) * F.col("apart") <= (100 - percent) * F.col("total"))
+
+
 def _pair(one: str, other: str) -> list:
     return [
+        F.col(f"{one}.mark").alias("own"),
         F.least(f"{one}.mark", f"{other}.mark").alias("a"),
         F.greatest(f"{one}.mark", f"{other}.mark").alias("b"),
         (F.col(f"{one}.n") + F.col(f"{other}.n")).cast("bigint").alias("total"),
@@ -266,11 +345,13 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     token, count = (common.column(c).to_numpy() for c in ("token", "n"))
     order = np.argsort(token)
     levels = (token[order], np.log2(count[order]).astype(np.int8))
+    total = sets.agg(F.sum("n_shingles")).first()[0] or 0
+    shared = docs.sparkSession.sparkContext.broadcast((levels, _ranks(levels, count[order], total)))
     # One shuffle, by token. A shingle of a single set leaves, and one where no
     # set could be the smaller of a pair, which needs more of its shingles left.
     every = W.partitionBy("token")
     small = ((100 + percent) * (F.col("n") - F.col("place")) >= 2 * percent * F.col("n")).cast("int")
-    placed = _prefixes(docs, levels, percent).select(
+    placed = _prefixes(docs, shared, percent).select(
         "*",
         F.min("mark").over(every).alias("low"),
         F.max("mark").over(every).alias("high"),
@@ -283,6 +364,8 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     meetings = saved(meetings.withColumn("prev", F.lag("token").over(in_set)), "meetings")
 
     classes = sets.where("n_shingles > 0").groupBy("mark").agg(F.min("doc_id").alias("first"))
+    odd = scanned.where("odd IS NOT NULL").join(meetings.select("mark"), "mark", "left_semi")
+    parities = saved(odd.groupBy("mark").agg(F.first("odd").alias("odd")), "parities")
     segments, stored = None, None
     links, tested, members = None, None, None
     for turn in range(HUB_ROUNDS + 1):
@@ -318,9 +401,14 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
         pairs = pairs.select(*_pair("x", "y")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = _near(pairs, parities, percent)
+        if not last:
+            # One check a class; where it fails, a later round has the others.
+            closest = pairs.groupBy("own").agg(F.min(F.struct("apart", "a", "b", "total")).alias("c"))
+            pairs = closest.select("c.a", "c.b", "c.total")
+        pairs = saved(pairs.select("a", "b", "total").distinct(), "pairs")
         ends = saved(_ends(pairs) if stored is None else _ends(pairs).join(stored, "mark", "left_anti"), "ends")
-        more = saved(_segments(_texts(docs, classes, ends)), "segments")
+        more = saved(_segments(_texts(docs, classes, ends), shared), "segments")
         segments = more if segments is None else segments.unionByName(more)
         stored = ends if stored is None else stored.unionByName(ends)
         found = saved(_overlaps(pairs, segments, percent), "links")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from casefile.llm import jaccard
@@ -72,6 +73,39 @@ def test_made_documents(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_parities_bound_what_is_not_shared():
+    """Never more bits differ than shingles are unshared, whatever the sizes; unlike
+    sets of like size are told apart."""
+    rng = np.random.default_rng(5)
+    far = missed = 0
+    for turn in range(200):
+        pool = rng.integers(-(2**63), 2**63 - 1, 900)
+        x = np.unique(rng.choice(pool, rng.integers(1, 800), replace=False))
+        y = np.unique(rng.choice(pool, rng.integers(1, 800), replace=False)) if turn % 4 else x
+        doc = np.repeat([0, 1], [len(x), len(y)])
+        one, other = jaccard._parities(np.concatenate((x, y)), doc, np.array([len(x), len(y)]))
+        unshared = len(np.setxor1d(x, y))
+        bits = jaccard._apart(one, other)
+        assert bits <= unshared and bits == jaccard._apart(other, one)
+        like = 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y))
+        if like and 7 * unshared > 2 * (len(x) + len(y)):
+            far += 1
+            missed += 7 * bits <= len(x) + len(y)
+    assert far > 10 and missed <= far // 10
+
+
+def test_fragments_are_ranges_of_the_order():
+    hashes = np.sort(np.random.default_rng(6).integers(-(2**63), 2**63 - 1, 4000))
+    levels = np.zeros(4000, np.int8)
+    levels[::3] = 2 + np.arange(len(levels[::3])) % 5
+    common = (hashes[levels > 0], levels[levels > 0])
+    before, own = jaccard._ranks(common, 2.0 ** common[1], 40_000)
+    level = jaccard._levels(common, hashes)
+    rank = before[level] + own[level] * (hashes / 2.0**64 + 0.5)
+    assert (np.diff(rank[np.lexsort((hashes, level))]) >= 0).all()
+    assert rank.min() >= 0 and rank.max() <= 1 + 1e-9
+
+
 def test_hub_rounds_and_last_round_agree(spark, monkeypatch):
     rows = made_rows()
     monkeypatch.setattr(jaccard, "HUB_ROUNDS", 0)
