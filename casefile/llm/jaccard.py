@@ -369,12 +369,13 @@ def similar_components(docs: DataFrame, percent: int = 75) -> DataFrame:
     segments, stored = None, None
     links, tested, members = None, None, None
     for turn in range(HUB_ROUNDS + 1):
-        spots = meetings.withColumn("root", F.col("mark"))
-        if members is not None:
+        if members is None:
+            spots = meetings.withColumn("root", F.col("mark"))
+        else:
             spots = meetings.join(members, "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        # A shingle whose sets are all connected has no more to tell.
-        roots = spots.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-        spots = saved(spots.join(roots.where("low <> high").select("token"), "token", "left_semi"), "spots")
+            # A shingle whose sets are all connected has no more to tell.
+            roots = spots.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+            spots = saved(spots.join(roots.where("low <> high").select("token"), "token", "left_semi"), "spots")
         meetings = spots.drop("root")
         if spots.isEmpty():
             break
