@@ -49,6 +49,31 @@ def split_malformed(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def validation(rows: DataFrame, key: str, body: str = "body") -> DataFrame:
+    """JSN-3, FIL-5: (key, faults, status) of each stored answer: 200, or 422 with the
+    fields at fault. An answer needs a summary (it may be empty), every issue a title
+    and one of the known severities, every reference a source. A body that is null or
+    no such object has the fault ``body``."""
+    parsed = parse_answers(rows.select(key, body, F.col(body).isNull().alias("no_body")), body)
+    bad_body = F.col("malformed").isNotNull() | F.col("no_body")
+    unknown = F.exists(
+        "issues",
+        lambda i: i["title"].isNull() | ~F.coalesce(i["severity"].isin(*SEVERITIES), F.lit(False)),
+    )
+    faults = F.array_compact(
+        F.array(
+            F.when(bad_body, F.lit("body")),
+            F.when(~bad_body & F.col("summary").isNull(), F.lit("summary")),
+            F.when(~bad_body & unknown, F.lit("issues")),
+            F.when(~bad_body & F.exists("references", lambda r: r["source"].isNull()), F.lit("references")),
+        )
+    )
+    checked = parsed.withColumn("faults", faults)
+    return checked.select(
+        key, "faults", F.when(F.size("faults") > 0, F.lit(422)).otherwise(F.lit(200)).alias("status")
+    )
+
+
 def shown_severity(severity: Column) -> Column:
     """CND-1."""
     return F.when(severity.isin(*SEVERITIES), severity).otherwise(

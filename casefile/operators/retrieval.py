@@ -11,15 +11,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from casefile.functions.text import tokens
-from casefile.operators.groups import fits
-from casefile.operators.trace import RULES
+from casefile.functions.text import question_intent, tokens
+from casefile.operators.groups import broadcast_within, fits
+from casefile.operators.trace import RULES, agent_summary
+from casefile.schemas import ISSUE
 from casefile.sources.sinks import materialized
 
 K1 = 1.2
 B = 0.75
 FUSION_OFFSET = 60
 TOP_K = 10
+# Passages of a documentation answer, and the digits of a bigint in a unit's key.
+ANSWER_PASSAGES = 3
+UNIT_DIGITS = 19
 Small = Callable[[DataFrame], DataFrame]
 # Rare tokens of a question are taken until their lists hold so many times k rows.
 PROBE_DOCUMENTS = 4
@@ -315,6 +319,66 @@ def cited(ranked: DataFrame, documents: DataFrame, item: str = "doc_id") -> Data
     return ranked.join(documents.select(item, "source"), item, "left")
 
 
+def section_top_k(units: DataFrame, questions: DataFrame, query: str = "item_id", k: int = ANSWER_PASSAGES) -> DataFrame:
+    """RET-1, ING-3: the ``k`` units of text, of documents and pages alike, with the
+    highest BM25 score per question, each with where it stands. ``units`` have kind,
+    doc_id, source, unit_no and unit; (kind, doc_id, unit_no) is their key, and ties go
+    by it, with ids and numbers of at least 0 in their order.
+
+    The units are cut out of their texts once and written; the texts of the chosen
+    ones, at most ``k`` per question, are fetched by a join that broadcasts the chosen
+    ones behind a check of their number.
+    """
+    def padded(name: str) -> Column:
+        return F.lpad(F.col(name).cast("string"), UNIT_DIGITS, "0")
+
+    key = F.concat_ws(":", "kind", padded("doc_id"), padded("unit_no")).alias("unit_key")
+    named = units.select(key, "kind", "doc_id", "source", "unit_no", F.col("unit").alias("text"))
+    stored = materialized(named, "units")
+    best = materialized(lexical_top_k(stored, questions, query, "unit_key", k), "best-units")
+    best = broadcast_within(best, best, MAX_BROADCAST_TOKENS)
+    found = stored.join(best, "unit_key")
+    return found.select(query, "rank", "kind", "doc_id", "source", "unit_no", F.col("text").alias("unit"))
+
+
+def documentation_answers(questions: DataFrame, passages: DataFrame, query: str = "item_id") -> DataFrame:
+    """RET-5, RET-3, RET-4: the documentation agent's answer to each question: its
+    intent, the sentence that opens it, the passages found as its story, the distinct
+    sources in the order of rank, and for each passage where it stands. A question that
+    nothing matches keeps an empty story. ``passages`` are those of ``section_top_k``,
+    a few per question."""
+    entry = F.struct("rank", "kind", "doc_id", "source", "unit_no", "unit")
+    gathered = passages.groupBy(query).agg(F.sort_array(F.collect_list(entry)).alias("found"))
+    joined = questions.select(query, F.col("text").alias("question")).join(gathered, query, "left")
+    none = F.array().cast(gathered.schema["found"].dataType)
+    found = joined.withColumn("found", F.coalesce("found", none))
+
+    def reference(passage: Column) -> Column:
+        source = F.coalesce(passage["source"], F.lit("")).alias("source")
+        return F.struct(source, F.lit(None).cast("int").alias("page"))
+
+    return found.select(
+        query,
+        F.lit("documentation").alias("agent"),
+        question_intent(F.coalesce("question", F.lit(""))).alias("intent"),
+        F.struct(
+            agent_summary(F.lit("documentation"), F.coalesce("question", F.lit(""))).alias("summary"),
+            F.transform("found", lambda p: p["unit"]).alias("story"),
+            F.array().cast(f"array<{ISSUE}>").alias("issues"),
+            F.array().cast("array<string>").alias("recommendations"),
+            F.array_distinct(F.transform("found", reference)).alias("references"),
+        ).alias("answer"),
+        F.transform("found", lambda p: F.struct(p["kind"], p["doc_id"], p["unit_no"])).alias("citations"),
+    )
+
+
+def rule_evidence(documents: DataFrame) -> DataFrame:
+    """(rule, doc_id, source): the document that best matches each fixed rule."""
+    rules = rule_questions(documents.sparkSession)
+    best = lexical_top_k(documents, rules, "rule", "doc_id", 1)
+    return cited(best, documents).select("rule", "doc_id", "source")
+
+
 def rule_questions(spark: SparkSession) -> DataFrame:
     """The fixed trace rules as questions to the documentation."""
     rows = [(rule[0], rule[2]) for rule in RULES]
@@ -324,7 +388,4 @@ def rule_questions(spark: SparkSession) -> DataFrame:
 def anomaly_evidence(issues: DataFrame, documents: DataFrame) -> DataFrame:
     """JON-9: each inconsistency with the passage that best matches its rule.
     There is one passage per rule, so that side is broadcast."""
-    rules = rule_questions(issues.sparkSession)
-    best = lexical_top_k(documents, rules, "rule", "doc_id", 1)
-    evidence = cited(best, documents).select("rule", "doc_id", "source")
-    return issues.join(F.broadcast(evidence), "rule", "left")
+    return issues.join(F.broadcast(rule_evidence(documents)), "rule", "left")

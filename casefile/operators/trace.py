@@ -328,8 +328,8 @@ def story_pages(steps: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     return told.select("rrn", (F.col("first") + 1).alias("first_step"), "story")
 
 
-def _issue_list(rules: str) -> Column:
-    """Rule names as issues of an answer."""
+def _issue_list(rules: str, evidence: str) -> Column:
+    """Rule names as issues of an answer, with the passage that tells of each."""
 
     def value(name: Column, place: int) -> Column:
         pairs = [F.lit(x) for rule in RULES for x in (rule[0], rule[place])]
@@ -340,20 +340,48 @@ def _issue_list(rules: str) -> Column:
         lambda name: F.struct(
             value(name, 1).alias("severity"),
             value(name, 2).alias("title"),
-            F.lit(None).cast("string").alias("detail"),
+            _passage(evidence, name)["detail"].alias("detail"),
         ),
     )
 
 
+def _passage(evidence: str, name: Column) -> Column:
+    return F.try_element_at(F.col(evidence), name)
+
+
+def _reference_list(rules: str, evidence: str) -> Column:
+    """The distinct sources of the passages, in the order of the rules."""
+    found = F.transform(
+        rules,
+        lambda name: F.when(
+            _passage(evidence, name).isNotNull(),
+            F.struct(_passage(evidence, name)["source"].alias("source"), F.lit(None).cast("int").alias("page")),
+        ),
+    )
+    return F.array_distinct(F.array_compact(found))
+
+
+def _evidence_map(evidence: DataFrame) -> Column:
+    """One map for all answers: there are as many passages as fixed rules."""
+    source = F.coalesce("source", F.lit(""))
+    detail = F.concat(F.lit("See document "), F.col("doc_id").cast("string"), F.lit(", "), source, F.lit("."))
+    passage = F.struct(source.alias("source"), detail.alias("detail"))
+    entries = F.map_from_entries(F.collect_list(F.struct("rule", passage)))
+    return evidence.groupBy().agg(entries.alias("evidence")).scalar()
+
+
 def _advice_list(rules: str) -> Column:
     pairs = [F.lit(x) for rule in RULES for x in (rule[0], rule[3])]
     return F.transform(rules, lambda name: F.create_map(*pairs)[name])
 
 
-def structured_answers(told: DataFrame, cards: DataFrame) -> DataFrame:
+def structured_answers(
+    told: DataFrame, cards: DataFrame, evidence: DataFrame | None = None
+) -> DataFrame:
     """RET-5, PRJ-6, PRJ-7, STR-4: the answer record of each transaction, one
     row per page of its story (more than one only for very long ones). ``cards``
-    carry their rules."""
+    carry their rules. With ``evidence`` (rule, doc_id, source; a rule at most once)
+    issues name the passage in their detail, and the answer refers to its source."""
     summary = F.concat(
         F.lit("Transaction "),
         F.col("rrn"),
@@ -363,17 +391,19 @@ def structured_answers(told: DataFrame, cards: DataFrame) -> DataFrame:
         F.col("n_lines").cast("string"),
         F.lit(" log entries."),
     )
-    references = F.array().cast("array<struct<source:string,page:int>>")
-    return told.join(cards, "rrn").select(
+    none = F.create_map().cast("map<string,struct<source:string,detail:string>>")
+    known = none if evidence is None else _evidence_map(evidence)
+    joined = told.join(cards, "rrn").withColumn("evidence", known)
+    return joined.select(
         F.col("rrn").alias("conversation_id"),
         "first_step",
         F.lit("log").alias("agent"),
         F.struct(
             summary.alias("summary"),
             "story",
-            _issue_list("rules").alias("issues"),
+            _issue_list("rules", "evidence").alias("issues"),
             _advice_list("rules").alias("recommendations"),
-            references.alias("references"),
+            _reference_list("rules", "evidence").alias("references"),
         ).alias("answer"),
     )
 

@@ -11,6 +11,7 @@ from casefile.functions.files import (
     size_text,
     upload_error,
 )
+from casefile.operators.chat import AGENTS
 from casefile.operators.groups import PAGE_ROWS, gather_pages, with_page
 
 # The reply to an accepted batch and the size-limit message.
@@ -48,6 +49,21 @@ def batch_status(uploads: DataFrame) -> DataFrame:
     )
 
 
+def request_status(uploads: DataFrame) -> DataFrame:
+    """FIL-5, FIL-11: the reply to each batch; one for an unknown agent is refused
+    before its files are looked at."""
+    known = F.coalesce(F.col("agent").isin(*[a[0] for a in AGENTS]), F.lit(False))
+    zero = F.lit(0)
+    return batch_status(uploads).select(
+        "request_id",
+        "agent",
+        F.when(known, F.col("status")).otherwise(F.lit(422)).alias("status"),
+        F.when(known, F.col("detail")).otherwise(F.lit("agent")).alias("detail"),
+        F.when(known, F.col("n_files")).otherwise(zero).alias("n_files"),
+        F.when(known, F.col("total_size")).otherwise(zero).alias("total_size"),
+    )
+
+
 def accepted_files(uploads: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
     """The files of batches without any bad file, with their page.
 

@@ -15,7 +15,7 @@ from casefile.functions.text import time_text
 from casefile.operators import answers, chat, documents, retrieval, trace, uploads
 from casefile.schemas import CONVERSATION_TURN, EVENT
 from casefile.session import work_dir
-from casefile.sources import views
+from casefile.sources import sinks, views
 from casefile.sources.tables import read_table, stream_table
 from casefile.streaming import messages as message_stream
 from casefile.streaming import pairing
@@ -227,6 +227,10 @@ def upload_batch_status(spark: SparkSession, folder: str) -> DataFrame:
     return uploads.batch_status(_uploads(spark, folder))
 
 
+def upload_request_status(spark: SparkSession, folder: str) -> DataFrame:
+    return uploads.request_status(views.upload_requests(_documents(spark, folder)))
+
+
 def upload_manifest(spark: SparkSession, folder: str) -> DataFrame:
     rows = uploads.manifest(uploads.accepted_files(_uploads(spark, folder)))
     files = F.transform(
@@ -277,6 +281,11 @@ def answer_quarantine(spark: SparkSession, folder: str) -> DataFrame:
     return bad.select("doc_id", "malformed")
 
 
+def answer_validation(spark: SparkSession, folder: str) -> DataFrame:
+    rows = answers.validation(_bodies(spark, folder), "doc_id")
+    return rows.withColumn("faults", F.array_join("faults", ","))
+
+
 def answer_variant_paths(spark: SparkSession, folder: str) -> DataFrame:
     paths = answers.variant_paths(_bodies(spark, folder), "doc_id")
     return _filled(paths, "summary", "severity", "source", "page")
@@ -377,6 +386,41 @@ def structured_answer(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def structured_answer_evidence(spark: SparkSession, folder: str) -> DataFrame:
+    told, cards = _told_and_cards(spark, folder)
+    evidence = retrieval.rule_evidence(_documents(spark, folder))
+    rows = trace.structured_answers(told, cards, evidence)
+    details = F.transform("answer.issues", lambda i: F.concat_ws(":", i["title"], i["detail"]))
+    sources = F.transform("answer.references", lambda r: r["source"])
+    return rows.select(
+        "conversation_id",
+        "first_step",
+        F.array_join(details, "|").alias("issues"),
+        F.array_join(sources, "|").alias("sources"),
+    )
+
+
+def report_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """The report written as JSON and TXT, and read from both."""
+    report = trace.report(*_told_and_cards(spark, folder))
+    target = work_dir(spark, "export")
+    sinks.export_report(report, target, "rrn")
+    read = [
+        sinks.read_report(spark, target, report.schema, kind).select(
+            F.lit(kind).alias("format"),
+            "rrn",
+            "card",
+            time_text(F.col("request_ts")).alias("request_ts"),
+            "status",
+            "n_lines",
+            F.array_join("rules", ",").alias("rules"),
+            F.array_join("story", " ").alias("story"),
+        )
+        for kind in ("json", "txt")
+    ]
+    return _filled(read[0].unionByName(read[1]), "card", "request_ts")
+
+
 # Documents and retrieval
 
 
@@ -389,6 +433,33 @@ def content_units(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _section_passages(spark: SparkSession, folder: str) -> DataFrame:
+    return retrieval.section_top_k(content_units(spark, folder), _benchmark(spark, folder))
+
+
+def section_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _filled(_section_passages(spark, folder), "source")
+
+
+def documentation_answer(spark: SparkSession, folder: str) -> DataFrame:
+    rows = retrieval.documentation_answers(
+        _benchmark(spark, folder), _section_passages(spark, folder)
+    )
+    place = F.transform(
+        "citations",
+        lambda c: F.concat_ws(":", c["kind"], c["doc_id"].cast("string"), c["unit_no"].cast("string")),
+    )
+    return rows.select(
+        "item_id",
+        "agent",
+        "intent",
+        F.col("answer.summary").alias("summary"),
+        F.array_join("answer.story", "\n").alias("story"),
+        F.array_join(F.transform("answer.references", lambda r: r["source"]), "|").alias("sources"),
+        F.array_join(place, "|").alias("citations"),
+    )
+
+
 def document_sections(spark: SparkSession, folder: str) -> DataFrame:
     return documents.page_sections(read_table(spark, folder, "pages"))
 
@@ -514,6 +585,7 @@ QUERIES: tuple[Query, ...] = (
     question_summary,
     upload_file_errors,
     upload_batch_status,
+    upload_request_status,
     upload_manifest,
     document_sizes,
     attachment_lists,
@@ -521,6 +593,7 @@ QUERIES: tuple[Query, ...] = (
     upload_size_messages,
     answer_sections,
     answer_quarantine,
+    answer_validation,
     answer_variant_paths,
     answer_issues,
     answer_references,
@@ -535,9 +608,13 @@ QUERIES: tuple[Query, ...] = (
     response_code_meaning,
     trace_report,
     structured_answer,
+    structured_answer_evidence,
+    report_roundtrip,
     content_units,
     document_sections,
     document_facts,
+    section_topk,
+    documentation_answer,
     function_catalog,
     lexical_topk,
     vector_topk,

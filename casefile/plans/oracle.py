@@ -41,6 +41,23 @@ def _shown(html: str) -> str:
     return _trim(text)
 
 
+_OPEN = r"(?:^|[^\p{L}\p{N}])"
+_SHUT = r"(?:[^\p{L}\p{N}]|$)"
+
+
+def _intent(question: str) -> str:
+    cases = (
+        (rf"^(?:and|what about|why|same for){_SHUT}", "follow_up"),
+        (rf"{_OPEN}(?:response|reject) +codes?{_SHUT}", "response_code"),
+        (rf"{_OPEN}(?:mti|iso ?8583|fld|de-?[0-9]+|fields? +[0-9]+){_SHUT}", "message_field"),
+        (rf"{_OPEN}hsm{_SHUT}", "hsm_command"),
+        (rf"{_OPEN}(?:how|steps?|procedures?){_SHUT}", "procedure"),
+        (rf"{_OPEN}examples?{_SHUT}", "example"),
+    )
+    whens = " ".join(f"WHEN regexp_matches(lower({question}), '{p}') THEN '{name}'" for p, name in cases)
+    return f"CASE {whens} ELSE 'concept' END"
+
+
 def _hex(number: str) -> str:
     return f"lpad(lower(hex({number})), 24, '0')"
 
@@ -50,9 +67,6 @@ def _item(number: str, *items: str) -> str:
     return f"([{listed}])[({number}) % {len(items)} + 1]"
 
 
-_OPEN = r"(?:^|[^\p{L}\p{N}])"
-_SHUT = r"(?:[^\p{L}\p{N}]|$)"
-
 VIEWS = {
     "msg": f"""
         SELECT conv_id, turn, lpad(lower(hex(conv_id)), 16, '0') || lpad(lower(hex(turn)), 8, '0') AS id,
@@ -230,6 +244,31 @@ VIEWS = {
                      (SELECT count(*) AS docs, avg(len(words)) AS mean FROM corpus) n
                 GROUP BY q.item_id, p.doc_id)
         ) WHERE rank <= 10""",
+    "piece": """
+        SELECT kind || ':' || lpad(CAST(doc_id AS VARCHAR), 19, '0') || ':' || lpad(CAST(unit_no AS VARCHAR), 19, '0') AS unit_key,
+               kind, doc_id, source, unit_no, unit
+        FROM (SELECT 'document' AS kind, doc_id, source, unit_no, unit FROM line
+              UNION ALL
+              SELECT 'page', doc_id, source, unit_no, unit FROM block WHERE length(unit) > 0)""",
+    "piecewords": f"SELECT unit_key, {_words('unit')} AS words FROM piece",
+    "pieceposting": """
+        SELECT unit_key, n_words, token, count(*) AS tf
+        FROM (SELECT unit_key, len(words) AS n_words, unnest(words) AS token FROM piecewords)
+        GROUP BY ALL""",
+    "piecerank": f"""
+        SELECT item_id, unit_key, rank FROM (
+            SELECT item_id, unit_key,
+                   row_number() OVER (PARTITION BY item_id ORDER BY score DESC, unit_key) AS rank
+            FROM (
+                SELECT q.item_id, p.unit_key, round(sum(
+                    ln(1 + (n.docs - d.df + 0.5) / (d.df + 0.5)) * p.tf * 2.2
+                    / (p.tf + 1.2 * (0.25 + 0.75 * p.n_words / n.mean))), 6) AS score
+                FROM (SELECT DISTINCT item_id, unnest({_words("text")}) AS token FROM benchmark) q
+                JOIN pieceposting p USING (token)
+                JOIN (SELECT token, count(*) AS df FROM pieceposting GROUP BY token) d USING (token),
+                     (SELECT count(*) AS docs, avg(len(words)) AS mean FROM piecewords) n
+                GROUP BY q.item_id, p.unit_key)
+        ) WHERE rank <= 3""",
     "vecrank": """
         SELECT item_id, vec_id, rank FROM (
             SELECT item_id, vec_id,
@@ -387,6 +426,16 @@ QUERIES = {
                CASE WHEN any_value(f.error) IS NULL THEN count(*) ELSE 0 END AS n_files,
                CAST(CASE WHEN any_value(f.error) IS NULL THEN sum(c.size) ELSE 0 END AS BIGINT) AS total_size
         FROM checked c LEFT JOIN failed f USING (request_id) GROUP BY c.request_id, c.agent""",
+    "upload_request_status": """
+        SELECT request_id, agent, CASE WHEN agent = 'other' THEN 422 ELSE status END AS status,
+               CASE WHEN agent = 'other' THEN 'agent' ELSE detail END AS detail,
+               CASE WHEN agent = 'other' OR status = 400 THEN 0 ELSE n_files END AS n_files,
+               CAST(CASE WHEN agent = 'other' OR status = 400 THEN 0 ELSE total_size END AS BIGINT) AS total_size
+        FROM (SELECT c.request_id, (['documentation', 'log', 'other'])[c.request_id % 3 + 1] AS agent,
+                     CASE WHEN any_value(f.error) IS NULL THEN 200 ELSE 400 END AS status,
+                     coalesce(any_value(f.error), 'Files received successfully') AS detail,
+                     count(*) AS n_files, sum(c.size) AS total_size
+              FROM checked c LEFT JOIN failed f USING (request_id) GROUP BY c.request_id)""",
     "upload_manifest": """
         SELECT request_id, agent, 0::BIGINT AS page,
                string_agg(filename || ':' || content_type || ':' || size, '|' ORDER BY ordinal) AS files
@@ -423,6 +472,13 @@ QUERIES = {
         FROM answer""",
     "answer_quarantine": """
         SELECT doc_id, '{"summary":' AS malformed FROM documents WHERE doc_id % 50 = 49""",
+    "answer_validation": """
+        SELECT doc_id, faults, CASE WHEN faults = '' THEN 200 ELSE 422 END AS status
+        FROM (SELECT doc_id, CASE WHEN doc_id % 50 = 49 THEN 'body'
+                     ELSE concat_ws(',', CASE WHEN text IS NULL THEN 'summary' END,
+                                    CASE WHEN doc_id % 4 = 3 THEN 'issues' END,
+                                    CASE WHEN source IS NULL THEN 'references' END) END AS faults
+              FROM documents)""",
     "answer_variant_paths": """
         SELECT doc_id, coalesce(summary, '') AS summary, coalesce(severity, '') AS severity,
                coalesce(a.source, '') AS source, coalesce(page, '') AS page
@@ -490,6 +546,38 @@ QUERIES = {
         LEFT JOIN (SELECT rrn, string_agg(severity || ':' || title, '|' ORDER BY rule) AS issues,
                           string_agg(advice, '|' ORDER BY rule) AS advice
                    FROM broken GROUP BY rrn) b USING (rrn)""",
+    "structured_answer_evidence": """
+        SELECT c.rrn AS conversation_id, 1::BIGINT AS first_step,
+               coalesce(i.issues, '') AS issues, coalesce(s.sources, '') AS sources
+        FROM card c
+        LEFT JOIN (SELECT rrn, string_agg(title || coalesce(':See document ' || doc_id || ', ' || coalesce(source, '') || '.', ''),
+                                          '|' ORDER BY rule) AS issues
+                   FROM broken LEFT JOIN rulebest USING (rule) LEFT JOIN documents USING (doc_id)
+                   GROUP BY rrn) i USING (rrn)
+        LEFT JOIN (SELECT rrn, string_agg(source, '|' ORDER BY first) AS sources
+                   FROM (SELECT rrn, coalesce(source, '') AS source, min(rule) AS first
+                         FROM broken JOIN rulebest USING (rule) JOIN documents USING (doc_id) GROUP BY 1, 2)
+                   GROUP BY rrn) s USING (rrn)""",
+    "report_roundtrip": f"""
+        SELECT f.format, c.rrn, card, {_text("ts")} AS request_ts, status, n_lines,
+               coalesce((SELECT string_agg(rule, ',' ORDER BY rule) FROM broken b WHERE b.rrn = c.rrn), '') AS rules,
+               story
+        FROM card c JOIN told USING (rrn), (VALUES ('json'), ('txt')) f(format)""",
+    "section_topk": """
+        SELECT item_id, rank, kind, doc_id, coalesce(source, '') AS source, unit_no, unit
+        FROM piecerank JOIN piece USING (unit_key)""",
+    "documentation_answer": f"""
+        SELECT b.item_id, 'documentation' AS agent, {_intent(_trim("b.text"))} AS intent,
+               'Reviewed the available documentation to answer: "' || b.text || '".' AS summary,
+               coalesce(t.story, '') AS story, coalesce(s.sources, '') AS sources, coalesce(t.citations, '') AS citations
+        FROM benchmark b
+        LEFT JOIN (SELECT item_id, string_agg(unit, chr(10) ORDER BY rank) AS story,
+                          string_agg(kind || ':' || doc_id || ':' || unit_no, '|' ORDER BY rank) AS citations
+                   FROM piecerank JOIN piece USING (unit_key) GROUP BY item_id) t USING (item_id)
+        LEFT JOIN (SELECT item_id, string_agg(source, '|' ORDER BY first) AS sources
+                   FROM (SELECT item_id, coalesce(source, '') AS source, min(rank) AS first
+                         FROM piecerank JOIN piece USING (unit_key) GROUP BY 1, 2)
+                   GROUP BY item_id) s USING (item_id)""",
     "content_units": """
         SELECT doc_id, source, unit_no, unit, '' AS lang, 'line' AS part, 'document' AS kind FROM line
         UNION ALL

@@ -137,6 +137,12 @@ def uploads(documents: DataFrame) -> DataFrame:
     )
 
 
+def upload_requests(documents: DataFrame) -> DataFrame:
+    """The uploads, every third batch for an agent that does not exist."""
+    agent = _pick(F.col("request_id"), "documentation", "log", "other")
+    return uploads(documents).withColumn("agent", agent)
+
+
 def answers(documents: DataFrame) -> DataFrame:
     """Stored answers as JSON text."""
     doc = F.col("doc_id")
