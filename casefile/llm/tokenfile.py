@@ -15,10 +15,10 @@ import re
 from collections.abc import Iterator
 from itertools import chain, pairwise
 from itertools import compress as compress_by
-from operator import not_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +30,10 @@ END_ID = 2
 SHARD_IDS = 1_000_000
 KNOWN_WORDS = 1_500_000
 BLANKS = " \t\n\v\f\r"
-MARKS = b".,;:!?"
+# ASCII marks but the apostrophe, which can begin a word of letters.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
+# A chunk of texts has its distinct words looked up once.
+CHUNK_CHARS = 8_000_000
 
 
 def load_tokenizer(path: str):
@@ -75,13 +78,15 @@ def _blanks_only(step: dict) -> bool:
     return step["type"] == "Replace" and step["pattern"] == {"Regex": "\\s+"} and step["content"] == " "
 
 
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-
-
-def _words(text: str) -> list[bytes]:
-    """A text cut at blanks, with A to Z lowered unless it may hold an added token."""
-    data = text.encode()
-    return (data if b"<|" in data else data.translate(_LOWER)).split()
+def _words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+    """Texts cut at blanks, with A to Z lowered unless they may hold an added token:
+    the number of each word, in order, the distinct words, and by text the words
+    before it, with the whole number at the end. An empty word may be among them."""
+    whole = pa.array(texts, pa.large_string())
+    lowered = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole))
+    cut = pc.ascii_split_whitespace(lowered)
+    coded = cut.flatten().dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), cut.offsets.to_numpy()
 
 
 class Letters:
@@ -93,6 +98,8 @@ class Letters:
     """
 
     SMALL = re.compile("[a-zß-öø-ÿ]+")
+    BEFORE_MARKS = re.compile("[0-9a-zA-ZÀ-ÖØ-öø-ÿ]")
+    LOWER = {c: c + 32 for c in (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))}
 
     def __init__(self, tokenizer):
         from tokenizers import Tokenizer, pre_tokenizers
@@ -132,8 +139,13 @@ class Encoder:
 
     def __init__(self, tokenizer, limit: int = KNOWN_WORDS):
         self.tokenizer, self.limit = tokenizer, limit
-        self.words: dict[bytes, bytes] | None = {} if word_wise(tokenizer) else None
+        self.words: dict[str, bytes] | None = {} if word_wise(tokenizer) else None
         self.letters = None if self.words is None else Letters(tokenizer)
+        probes = [*MARKS, *(c + m for c in "a1éß" for m in (*MARKS, MARKS)), "É", "ÀÞ", MARKS]
+        self.by_marks = True
+        self.by_marks = self.words is not None and _packed(tokenizer, probes) == [
+            b"".join(_packed(tokenizer, list(self._parts(p)))) for p in probes
+        ]
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of words, those of plain letters by the model alone."""
@@ -144,37 +156,54 @@ class Encoder:
         fast, slow = iter(small), iter(_packed(self.tokenizer, [w for w, p in zip(words, plain, strict=True) if not p]))
         return [next(fast) if p else next(slow) for p in plain]
 
-    def _learn(self, fresh: set[bytes]) -> None:
-        """Adds words to the table. Marks after an ASCII letter or digit are a word of
-        their own to the tokenizer, so those words are put together from two."""
-        pairs = []
-        for word in fresh:
-            stem = word.rstrip(MARKS)
-            if len(stem) < len(word) and stem[-1:].isalnum() and b"<|" not in word:
-                pairs.append((word, stem, word[len(stem) :]))
-        parts = fresh.difference(w for w, _, _ in pairs)
-        parts.update(p for pair in pairs for p in pair[1:])
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """A word as one or two that the tokenizer takes apart anyway: marks after a
+        Latin letter or digit are a word of their own to it. Letters are lowered where
+        that leaves plain ones."""
+        if not self.by_marks or "<|" in word:
+            return (word,)
+        stem = word.rstrip(MARKS)
+        if not Letters.BEFORE_MARKS.fullmatch(stem[-1:]):
+            stem = word
+        marks = word[len(stem) :]
+        if not stem.isascii():
+            low = stem.translate(Letters.LOWER)
+            stem = low if Letters.SMALL.fullmatch(low) else stem
+        return (stem, marks) if marks else (stem,)
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Adds words to the table; those with parts are put together from them."""
+        plain = Letters.SMALL.fullmatch
+        parts_of = {word: self._parts(word) for word in fresh if not plain(word)}
+        parts = fresh.difference(parts_of)
+        parts.update(p for own in parts_of.values() for p in own)
         parts = list(parts.difference(self.words))
-        self.words.update(zip(parts, self._ids([w.decode() for w in parts]), strict=True))
-        self.words.update((w, self.words[stem] + self.words[marks]) for w, stem, marks in pairs)
+        self.words.update(zip(parts, self._ids(parts), strict=True))
+        for word, own in parts_of.items():
+            if len(own) > 1 or own[0] is not word:
+                self.words[word] = b"".join([self.words[p] for p in own])
 
     def apply(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of every text."""
+        """Little-endian 32-bit ids of every text: the ids of the distinct words of
+        all texts side by side, picked out word by word."""
         if self.words is None:
             return _packed(self.tokenizer, texts)
-        cut = [_words(t) for t in texts]
-        found = [list(map(self.words.get, own)) for own in cut]
-        lacking = [k for k, ids in enumerate(found) if None in ids]
-        # Words without ids count as lacking too; there are next to none.
-        fresh = set(chain.from_iterable(compress_by(cut[k], map(not_, found[k])) for k in lacking))
+        at, distinct, before = _words(texts)
+        fresh = {w for w in distinct if w not in self.words}
         if fresh:
             if len(self.words) + len(fresh) > self.limit:
                 self.words.clear()
-                lacking, fresh = range(len(cut)), set().union(*cut)
+                fresh = set(distinct)
             self._learn(fresh)
-            for k in lacking:
-                found[k] = list(map(self.words.get, cut[k]))
-        return [b"".join(ids) for ids in found]
+        known = [self.words[w] for w in distinct]
+        size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        start = np.cumsum(size) - size
+        counts = size[at]
+        ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts)))
+        # Where each id lies among those of the distinct words.
+        place = np.repeat(start[at] - ends[:-1], counts) + np.arange(ends[-1])
+        packed = np.frombuffer(b"".join(known), "<u4")[place].tobytes()
+        return [packed[4 * a : 4 * b] for a, b in pairwise(ends[before].tolist())]
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -216,7 +245,7 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids
             id_type = batch.schema.field("doc_id").type
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
             own, texts = (list(x) for x in zip(*rows, strict=True)) if batch.num_rows else ([], [])
-            for some, whole in in_chunks(own, texts):
+            for some, whole in in_chunks(own, texts, CHUNK_CHARS):
                 for name, ids in zip(some, encoder.apply(whole), strict=True):
                     names.append(name)
                     coded.append(ids + end)

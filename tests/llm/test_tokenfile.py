@@ -162,3 +162,20 @@ def test_null_ids_come_first_and_empty_tables(spark, tokenizer, tmp_path):
     assert out == [(None, 0, 2), ("a", 2, 1), ("b", 3, 3)]
     tokenfile.write(docs.where("false"), str(tmp_path / "none"), PATH)
     assert tokenfile.read(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_words_taken_apart_at_marks_are_as_the_library_has_them():
+    rng = random.Random(9)
+    letters, marks = "abzÉéßÿ×÷1²ªµx́İ１", tokenfile.MARKS + "'s<|"
+    words = [
+        "".join(rng.choice(letters) for _ in range(rng.randint(0, 4)))
+        + "".join(rng.choice(marks) for _ in range(rng.randint(0, 4)))
+        + "".join(rng.choice(letters) for _ in range(rng.randint(0, 2)))
+        for _ in range(8000)
+    ]
+    texts = [" ".join(words[i : i + 7]) + rng.choice(["", " ", "\n\x85", "\xa0"]) for i in range(0, 8000, 7)]
+    encoder = tokenfile.Encoder(tokenfile.load_tokenizer(PATH))
+    expected = tokenfile._packed(tokenfile.load_tokenizer(PATH), texts)
+    assert encoder.by_marks and encoder.apply(texts) == expected
+    assert tokenfile.Encoder(tokenfile.load_tokenizer(PATH), limit=40).apply(texts) == expected
+    assert encoder.apply([]) == [] and encoder.apply(["", "  "]) == [b"", b""]
