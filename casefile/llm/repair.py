@@ -65,6 +65,25 @@ class Grammar:
             symbols = np.concatenate((left, right))
         return out
 
+    def whole(self) -> np.ndarray:
+        """All ids. Each rule is opened once and copied to where it stands, unless the
+        rules together are longer than the ids."""
+        size = self.sizes(self.symbols)
+        total = int(size.sum())
+        lengths = self.lengths.astype(np.int64)
+        if not len(lengths) or int(lengths.sum()) > total:
+            return self.expand(self.symbols)
+        opened = self.expand(np.arange(self.base, self.base + len(lengths), dtype=np.uint32))
+        # Symbols that are ids follow the opened rules, each for itself.
+        rule = self.symbols >= self.base
+        pool = np.concatenate((opened, self.symbols[~rule].astype(np.uint32)))
+        start = np.empty(len(size), np.int64)
+        start[rule] = (np.cumsum(lengths) - lengths)[self.symbols[rule].astype(np.int64) - self.base]
+        start[~rule] = np.arange(len(opened), len(pool))
+        place = np.repeat(start - (np.cumsum(size) - size), size)
+        place += np.arange(total)
+        return pool[place]
+
     def document(self, k: int, first: int = 0, last: int | None = None) -> np.ndarray:
         """Ids ``first`` to ``last`` of document k."""
         begin = int(self.symbol_ends[k - 1]) if k else 0

@@ -83,7 +83,9 @@ def _words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
     the number of each word, in order, the distinct words, and by text the words
     before it, with the whole number at the end. An empty word may be among them."""
     whole = pa.array(texts, pa.large_string())
-    lowered = pc.if_else(pc.match_substring(whole, "<|"), whole, pc.ascii_lower(whole))
+    lowered, special = pc.ascii_lower(whole), pc.match_substring(whole, "<|")
+    if pc.any(special).as_py():
+        lowered = pc.if_else(special, whole, lowered)
     cut = pc.ascii_split_whitespace(lowered)
     coded = cut.flatten().dictionary_encode()
     return coded.indices.to_numpy(), coded.dictionary.to_pylist(), cut.offsets.to_numpy()
@@ -304,7 +306,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             for k in range(batch.num_rows):
                 names = batch.column("doc_ids").slice(k, 1).flatten()
                 grammar = Grammar.from_bytes(batch.column("grammar")[k].as_py())
-                ids = grammar.expand(grammar.symbols).astype("<u4")
+                ids = grammar.whole().astype("<u4", copy=False)
                 ends = grammar.token_ends.astype(np.int64)
                 begins = np.concatenate(([0], ends[:-1]))
                 start = begins + batch.column("first_token")[k].as_py()

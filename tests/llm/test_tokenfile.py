@@ -31,6 +31,7 @@ def test_round_trip_and_random_access(documents, least, data):
     grammar = grammar_of(documents, 4, least)
     whole = [i for d in documents for i in d]
     assert grammar.expand(grammar.symbols).tolist() == whole
+    assert grammar.whole().tolist() == whole
     for k, own in enumerate(documents):
         assert grammar.document(k).tolist() == own
         first = data.draw(st.integers(0, len(own)))
