@@ -3,10 +3,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -38,6 +39,8 @@ MAX_BLOCK_QUERIES = 8192
 MAX_CELL_NUMBERS = 1 << 23
 # Questions whose scores against one cell are held at the same time.
 SCORED_AT_ONCE = 256
+# (document, token, question) triples that a task of the lexical search adds up at once.
+TRIPLES_AT_ONCE = 1 << 20
 
 
 def top_k(scored: DataFrame, query: str, item: str, k: int) -> DataFrame:
@@ -159,6 +162,139 @@ def bounded_scores(
     return full.select(query, item, F.round("partial", 6).alias("score")), partial
 
 
+def _packed(item: str, known: pa.Array):
+    """A map from (item, words) to one row per document: its number of words, and the
+    numbers of the tokens of ``known`` in it with how often each is there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column(1)
+            number = pc.index_in(words.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+            found = ~np.isnan(number) if number.dtype.kind == "f" else np.ones(len(number), bool)
+            row = pc.list_parent_indices(words).to_numpy().astype(np.int64)[found]
+            pairs, counts = np.unique(row * len(known) + number[found].astype(np.int64), return_counts=True)
+            row, token = np.divmod(pairs, max(1, len(known)))
+            starts = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32))
+            sizes = pc.fill_null(pc.list_value_length(words), 0).cast(pa.int64())
+            lists = [pa.ListArray.from_arrays(starts, pa.array(c.astype(np.int32))) for c in (token, counts)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, *lists], names=[item, "n_words", "tokens", "counts"])
+
+    return run
+
+
+def packed_documents(documents: DataFrame, known: pa.Array, item: str) -> DataFrame:
+    """(item, n_words, tokens, counts) of every document, written. One narrow pass over
+    the texts; only rows whose item is there more than once are shuffled, to be added up."""
+    words = documents.select(item, F.coalesce(tokens(F.col("text")), F.array().cast("array<string>")).alias("words"))
+    kind = documents.schema[item].dataType.simpleString()
+    schema = f"`{item}` {kind}, n_words bigint, tokens array<int>, counts array<int>"
+    stored = materialized(words.mapInArrow(_packed(item, known), schema), "postings")
+    mark = F.xxhash64(item).alias("mark")
+    repeated = stored.groupBy(mark).agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("mark")
+    repeated = materialized(repeated, "repeated")
+    if repeated.isEmpty():
+        return stored
+    marked = stored.select("*", mark)
+    again = marked.join(repeated, "mark", "left_semi")
+    listed = again.select(item, "n_words", F.explode_outer(F.arrays_zip("tokens", "counts")).alias("of"))
+    added = listed.groupBy(item, "of.tokens").agg(F.sum("of.counts").cast("int").alias("tf"), F.max("n_words").alias("n_words"))
+    # A row without tokens keeps its document; there are at most as many tokens as asked for.
+    entry = F.when(F.col("tokens").isNotNull(), F.struct("tokens", "tf"))
+    whole = added.groupBy(item).agg(F.max("n_words").alias("n_words"), F.sort_array(F.collect_list(entry)).alias("of"))
+    whole = whole.select(item, "n_words", F.col("of.tokens").alias("tokens"), F.col("of.tf").alias("counts"))
+    return materialized(marked.join(repeated, "mark", "left_anti").drop("mark").unionByName(whole), "postings")
+
+
+def _best_documents(query: str, item: str, k: int, average: float, ids: pa.Array, asked: tuple[np.ndarray, ...]):
+    """A map from packed documents to the ``k`` best of the task per question, with
+    their scores. ``asked`` has, by token, where its questions start among the
+    following, how many there are, and its idf; then the questions."""
+    start, many, idf, questions = asked
+
+    def triples(token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place in ``token``, that place once per question with the token."""
+        times = many[token]
+        place = np.repeat(np.arange(len(token)), times)
+        within = np.arange(len(place)) - np.repeat(np.cumsum(times) - times, times)
+        return place, questions[start[token[place]] + within]
+
+    def cut(found: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        keys = [("question", "ascending"), ("score", "descending"), (item, "ascending")]
+        found = found.take(pc.sort_indices(found, sort_keys=keys, null_placement="at_start"))
+        question = found.column("question").to_numpy()
+        place = np.arange(len(question)) - np.searchsorted(question, question)
+        floor = np.full(len(ids), -np.inf)
+        floor[question[place == k - 1]] = found.column("score").to_numpy()[place == k - 1]
+        return found.filter(pa.array(place < k)), floor
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, floor = None, np.full(len(ids), -np.inf)
+        for batch in batches:
+            token = batch.column(2).flatten().to_numpy()
+            tf = batch.column(3).flatten().to_numpy()
+            row = pc.list_parent_indices(batch.column(2)).to_numpy().astype(np.int64)
+            norm = K1 * (1 - B + B * batch.column(1).to_numpy() / average)
+            part = idf[token] * (tf * (K1 + 1) / (tf + norm[row]))
+            # Slices end where a document does.
+            upto = np.concatenate(([0], np.cumsum(many[token])))
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            at = 0
+            while at < batch.num_rows:
+                limit = upto[ends[at]] + TRIPLES_AT_ONCE
+                to = max(at + 1, int(np.searchsorted(upto[ends], limit, side="right")) - 1)
+                here = slice(ends[at], ends[to])
+                place, question = triples(token[here])
+                pair = (row[here][place] - at) * len(ids) + question
+                if (to - at) * len(ids) <= 8 * len(pair):
+                    scores = np.bincount(pair, part[here][place], minlength=0)
+                    pair = np.flatnonzero(scores)
+                    scores = scores[pair]
+                else:
+                    pair, same = np.unique(pair, return_inverse=True)
+                    scores = np.bincount(same, part[here][place], minlength=len(pair))
+                doc, question = np.divmod(pair, len(ids))
+                scores = np.round(scores, 6)
+                able = scores >= floor[question]
+                if able.any():
+                    found = [pa.array(question[able]), batch.column(0).take(pa.array(doc[able] + at)), pa.array(scores[able])]
+                    more = pa.Table.from_arrays(found, names=["question", item, "score"])
+                    best, floor = cut(more if best is None else pa.concat_tables([best, more]))
+                at = to
+        if best is not None:
+            columns = [ids.take(best.column("question").combine_chunks()), best.column(item), best.column("score")]
+            yield from pa.Table.from_arrays(columns, names=[query, item, "score"]).combine_chunks().to_batches()
+
+    return run
+
+
+def scanned_scores(documents: DataFrame, asked: DataFrame, query: str, item: str, k: int) -> DataFrame:
+    """Scores of the documents that are among the ``k`` best of a question within their
+    task, so all of the ``k`` best. ``asked`` are the distinct (question, token) rows,
+    few enough to be broadcast.
+
+    Two narrow passes: the first counts each document's tokens, cut to those asked for,
+    and writes them; the second adds up the scores of a batch of documents for all
+    questions and keeps ``k`` per question. Neither postings nor pairs are shuffled.
+    """
+    table = asked.toArrow()
+    known = pc.unique(table.column("token"))
+    ids = pc.unique(table.column(query))
+    stored = packed_documents(documents, known, item)
+    size = stored.agg(F.count(F.lit(1)).alias("total"), F.avg("n_words").alias("average")).first()
+    counted = stored.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("df")).toArrow()
+    df = np.zeros(len(known))
+    df[counted.column("token").to_numpy()] = counted.column("df").to_numpy()
+    idf = np.log(1 + (size["total"] - df + 0.5) / (df + 0.5))
+    token = pc.index_in(table.column("token"), value_set=known).to_numpy()
+    question = pc.index_in(table.column(query), value_set=ids).to_numpy()
+    order = np.lexsort((question, token))
+    many = np.bincount(token, minlength=len(known))
+    terms = (np.cumsum(many) - many, many, idf, question[order].astype(np.int64))
+    kinds = asked.schema[query].dataType.simpleString(), documents.schema[item].dataType.simpleString()
+    schema = f"`{query}` {kinds[0]}, `{item}` {kinds[1]}, score double"
+    return stored.mapInArrow(_best_documents(query, item, k, size["average"] or 1.0, ids, terms), schema)
+
+
 def lexical_top_k(
     documents: DataFrame,
     questions: DataFrame,
@@ -168,21 +304,17 @@ def lexical_top_k(
 ) -> DataFrame:
     """RET-1, SRT-4: the ``k`` documents with the highest BM25 score per question.
 
-    The questions' tokens are broadcast behind a check of their number; beyond it
-    the same joins shuffle.
+    Questions of up to ``MAX_BROADCAST_TOKENS`` tokens together are scored where the
+    documents lie; beyond that, documents and questions meet by joins with bounds.
     """
-    asked = asked_tokens(questions, query)
-    few = fits(asked, MAX_BROADCAST_TOKENS)
-
-    def small(side: DataFrame) -> DataFrame:
-        return F.broadcast(side) if few else side
-
+    asked = asked_tokens(questions, query).distinct()
+    if fits(asked, MAX_BROADCAST_TOKENS):
+        return top_k(scanned_scores(documents, asked, query, item, k), query, item, k)
     # The list of postings is read several times, the texts once.
-    vocabulary = small(asked.select("token").distinct())
-    counts = materialized(token_counts(documents, vocabulary, item), "postings")
+    counts = materialized(token_counts(documents, asked.select("token").distinct(), item), "postings")
     postings, bounds = impacts(counts, item)
     terms = materialized(asked.join(bounds, "token"), "terms")
-    scored, _ = bounded_scores(postings, terms, query, item, k, small)
+    scored, _ = bounded_scores(postings, terms, query, item, k, lambda side: side)
     return top_k(scored, query, item, k)
 
 

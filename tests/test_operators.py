@@ -535,6 +535,36 @@ def test_common_tokens_are_not_expanded(spark):
     assert scored.count() < sharing.count() / 5
 
 
+@pytest.mark.parametrize("triples", [1, 50, 1 << 20])
+def test_tasks_keep_the_best_documents_only(spark, monkeypatch, triples):
+    """A task gives k documents per question on, however many share a token or are
+    copies; ids on several rows are one document."""
+    monkeypatch.setattr(retrieval, "TRIPLES_AT_ONCE", triples)
+    rng = np.random.default_rng(8)
+    texts = [(i, " ".join(f"w{c}" for c in rng.integers(0, 9, rng.integers(0, 12)))) for i in range(300)]
+    texts += [(i, "w1 w2 w3") for i in range(300, 400)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = [("x", "w1 w2 w2"), ("y", "w3 w4 w5 none"), ("z", "none")]
+    questions = spark.createDataFrame(asked, "item_id string, text string")
+    tokens = retrieval.asked_tokens(questions, "item_id").distinct()
+    assert retrieval.scanned_scores(docs, tokens, "item_id", "doc_id", 4).count() <= 3 * 4 * 2
+    rows = retrieval.lexical_top_k(docs, questions, k=4).collect()
+    for item, question in asked:
+        mine = [d for _, d in sorted((r["rank"], r.doc_id) for r in rows if r.item_id == item)]
+        assert mine == bm25(texts, question)[:4]
+
+
+@pytest.mark.parametrize("limit", [0, 1000])
+def test_rows_of_one_id_are_one_document(spark, monkeypatch, limit):
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_TOKENS", limit)
+    rows = [(1, "a"), (1, "a"), (1, "b b"), (2, "a b"), (3, None), (3, "b"), (4, "z"), (4, "y"), (5, "a a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    questions = spark.createDataFrame([(7, "a b"), (8, "b")], "item_id long, text string")
+    found = retrieval.lexical_top_k(docs, questions).collect()
+    ranks = {i: [d for _, d in sorted((r["rank"], r.doc_id) for r in found if r.item_id == i)] for i in (7, 8)}
+    assert ranks == {7: [1, 2, 5, 3], 8: [1, 3, 2]}
+
+
 @pytest.mark.parametrize(("block_queries", "cell_numbers"), [(3, 16), (3, 1 << 23), (8192, 16), (8192, 1 << 23)])
 def test_vector_matches_brute_force(spark, monkeypatch, block_queries, cell_numbers):
     """With one and with many cells, equal scores, odd widths and bad elements."""
