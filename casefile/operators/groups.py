@@ -16,6 +16,9 @@ HOT_ROWS = 1_000_000
 # this list keeps its single part, at most 1/MAX_HOT_KEYS of the rows.
 MAX_HOT_KEYS = 10_000
 PAGE_ROWS = 1000
+# Rows of one task where keys are dealt to tasks, and ranges of hashes that are counted.
+TASK_ROWS = 500_000
+HASH_RANGES = 1 << 16
 
 
 def hot_keys(df: DataFrame, keys: list[str], time: str, hot_rows: int) -> DataFrame:
@@ -183,3 +186,17 @@ def broadcast_within(df: DataFrame, probe: DataFrame, max_rows: int) -> DataFram
 def fits(df: DataFrame, max_rows: int) -> bool:
     """Whether ``df`` has at most ``max_rows`` rows; no more than that are counted."""
     return df.limit(max_rows + 1).count() <= max_rows
+
+
+def dealt_by(df: DataFrame, key: str, task_rows: int = TASK_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``df`` dealt by ``key`` to as many tasks as keep each at about ``task_rows``,
+    however large ``df`` is; what then goes by the key shuffles no more. Where a key
+    (or no key at all) may have more than ``hot_rows`` rows, ``df`` is left as it is,
+    so that Spark can split that key. ``df`` is read once more, for counts."""
+    spread = F.pmod(F.xxhash64(key), F.lit(HASH_RANGES)).alias("range")
+    sizes = df.groupBy(spread).agg(F.count(F.lit(1)).alias("n"))
+    found = sizes.agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    if found["rows"] is None or found["most"] > hot_rows:
+        return df
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-found["rows"] // task_rows))
+    return df.repartition(parts, key)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from casefile.functions.text import time_text
 from casefile.operators import answers, chat, documents, retrieval, trace, uploads
+from casefile.operators.groups import dealt_by
 from casefile.schemas import CONVERSATION_TURN, EVENT
 from casefile.session import work_dir
 from casefile.sources import sinks, views
@@ -24,6 +25,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 PAIR_WITHIN = "10 seconds"
 PAIR_DELAY = "1 minute"
+EVENTS_PER_TASK = 200_000
 
 
 def _times_as_text(rows: DataFrame) -> DataFrame:
@@ -75,6 +77,15 @@ def _parsed(spark: SparkSession, folder: str) -> DataFrame:
     return trace.parse_trace(views.trace_lines(read_table(spark, folder, "events")))
 
 
+def _stored_trace(spark: SparkSession, folder: str) -> DataFrame:
+    """The parsed trace, written once for queries that read it several times. Events
+    are dealt out first: a small file of them is a long trace."""
+    events = read_table(spark, folder, "events")
+    parts = max(spark.sparkContext.defaultParallelism, -(-events.count() // EVENTS_PER_TASK))
+    lines = views.trace_lines(events.select("event_id", "ts", "user_id", "event_type").repartition(parts))
+    return sinks.materialized(trace.parse_trace(lines), "trace")
+
+
 def _trace_issues(parsed: DataFrame) -> DataFrame:
     return trace.inconsistencies(
         trace.transactions(parsed), trace.hsm_exchanges(parsed)
@@ -313,32 +324,32 @@ def trace_parse(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def trace_transactions(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _times_as_text(trace.transactions(_parsed(spark, folder)))
+    rows = _times_as_text(trace.transactions(_stored_trace(spark, folder)))
     return _filled(rows, *[c for c in rows.columns if c != "n_lines"])
 
 
 def trace_status_counts(spark: SparkSession, folder: str) -> DataFrame:
-    return trace.status_counts(trace.transactions(_parsed(spark, folder)))
+    return trace.status_counts(trace.transactions(_stored_trace(spark, folder)))
 
 
 def trace_summary(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = _parsed(spark, folder)
+    parsed = dealt_by(_stored_trace(spark, folder), "rrn")
     return trace.trace_summary(
         parsed, trace.transactions(parsed), _trace_issues(parsed)
     )
 
 
 def trace_story(spark: SparkSession, folder: str) -> DataFrame:
-    return _times_as_text(trace.story(_parsed(spark, folder)).drop("part"))
+    return _times_as_text(trace.story(_stored_trace(spark, folder)).drop("part"))
 
 
 def hsm_exchanges(spark: SparkSession, folder: str) -> DataFrame:
-    rows = _times_as_text(trace.hsm_exchanges(_parsed(spark, folder)).drop("replied"))
+    rows = _times_as_text(trace.hsm_exchanges(_stored_trace(spark, folder)).drop("replied"))
     return _filled(rows, "reply", "reply_ts", "hsm_return")
 
 
 def trace_inconsistencies(spark: SparkSession, folder: str) -> DataFrame:
-    return _trace_issues(_parsed(spark, folder))
+    return _trace_issues(dealt_by(_stored_trace(spark, folder), "rrn"))
 
 
 def response_code_meaning(spark: SparkSession, folder: str) -> DataFrame:
@@ -350,7 +361,7 @@ def response_code_meaning(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _told_and_cards(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    parsed = _parsed(spark, folder)
+    parsed = _stored_trace(spark, folder)
     cards = trace.with_rules(trace.transactions(parsed), trace.hsm_exchanges(parsed))
     return trace.story_pages(trace.story(parsed)), cards
 
@@ -511,7 +522,7 @@ def evidence_fusion(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def anomaly_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    issues = _trace_issues(_parsed(spark, folder))
+    issues = _trace_issues(_stored_trace(spark, folder))
     rows = retrieval.anomaly_evidence(issues, _documents(spark, folder))
     shown = rows.select("rrn", "xid", "rule", "doc_id", "source")
     return _filled(shown, "doc_id", "source")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from casefile.operators import groups
 from casefile.operators.groups import (
     gather_pages,
     hot_keys,
@@ -15,6 +16,7 @@ from casefile.operators.groups import (
     with_page,
     with_preceding,
 )
+from casefile.plans import catalog
 
 
 @pytest.fixture(scope="module")
@@ -96,3 +98,23 @@ def test_ordinary_keys_need_no_extra_shuffle(rows):
     final = plan.split("+- == Initial Plan ==")[0]
     assert "SortMergeJoin" not in final
     assert len(re.findall(r"Exchange hashpartitioning\(key#\d+, part", final)) == 1
+
+
+def test_keys_are_dealt_to_tasks_of_bounded_size(spark):
+    """Tasks grow in number, not in size; a hot key, or rows without a key, are left to Spark."""
+    rows = spark.range(40_000).selectExpr("concat('k', id % 20000) AS rrn", "id")
+    dealt = groups.dealt_by(rows, "rrn", task_rows=1000, hot_rows=500)
+    assert dealt.rdd.getNumPartitions() == 40
+    largest = dealt.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert largest < 1500 and dealt.agg(F.sum("id")).first() == rows.agg(F.sum("id")).first()
+    for key in ("'k'", "CAST(NULL AS string)"):
+        hot = rows.selectExpr(f"IF(id < 600, {key}, rrn) AS rrn")
+        assert groups.dealt_by(hot, "rrn", task_rows=1000, hot_rows=500) is hot
+    none = rows.where("false")
+    assert groups.dealt_by(none, "rrn") is none
+
+
+def test_a_trace_is_parsed_once(spark):
+    """The lines of a query that reads them several times are cut only as they are written."""
+    plan = catalog.trace_report(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "event_type" not in plan
