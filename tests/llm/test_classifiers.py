@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from casefile.llm import labelled, ranking, toxicity
 from casefile.llm.queries import op3_quality_ranking, op4_toxicity
@@ -153,3 +154,23 @@ def test_ranking_fit_takes_repeated_ids_once(spark):
     repeated = docs.unionByName(docs.where("doc_id = 3").crossJoin(spark.range(200)).drop("id"))
     once, more = ranking.train(docs, labels), ranking.train(repeated, labels)
     assert np.allclose(once.weights, more.weights) and once.threshold == pytest.approx(more.threshold)
+
+
+def test_ranking_learns_from_every_labelled_document(spark):
+    """The threshold is the exact quantile of all training scores, and each training
+    document is in a pair, however many there are."""
+    texts = "repeat(if(id % 4 = 0, 'Some words. ', '# 12 '), int(id * 7 % 40) + 5)"
+    docs = spark.range(10_500).selectExpr("id AS doc_id", f"{texts} AS text")
+    labels = docs.selectExpr("doc_id", "int(doc_id % 4 = 0) AS quality")
+    rows = ranking._training_rows(docs, labels)
+    kept = [i for i in range(10_500) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(r.doc_id for r in rows.collect()) == kept
+    model = ranking.train(docs, labels, quantile=0.3)
+    every = model.strengths(np.array([r.features for r in rows.collect()]))
+    assert model.threshold == pytest.approx(np.quantile(every, 0.3), abs=1e-9)
+    size = {1: sum(i % 4 == 0 for i in kept), 0: sum(i % 4 != 0 for i in kept)}
+    numbered = rows.withColumn("features", F.array(F.col("doc_id").cast("double")))
+    pairs = [tuple(int(v) for v in r.features) for r in ranking._pairs(numbered, size, 2).collect()]
+    assert len(pairs) == len(set(pairs)) == 2 * size[0]
+    assert sorted({i for pair in pairs for i in pair}) == kept
+    assert all(better % 4 == 0 and worse % 4 != 0 for better, worse in pairs)
