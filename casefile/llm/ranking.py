@@ -26,7 +26,7 @@ PAIRS = 60_000
 PENALTY = 1e-3
 SLOPES = np.geomspace(0.05, 20, 60)
 # Documents of a label are numbered by cells of their hash.
-CELL_BITS = 12
+CELL_BITS = 8
 SYMBOLS = np.array(sorted(map(ord, "#*$%&|<>")), np.uint32)
 STOPS = np.array(sorted(map(ord, ".,;:?")), np.uint32)
 
