@@ -28,12 +28,14 @@ from casefile.llm.repair import Grammar, compress
 
 END_ID = 2
 SHARD_IDS = 1_000_000
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 800_000
 BLANKS = " \t\n\v\f\r"
 # ASCII marks but the apostrophe, which can begin a word of letters.
 MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 # A chunk of texts has its distinct words looked up once.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
+# Rows of an Arrow batch that are Python objects at the same time.
+ROWS_AT_ONCE = 4_000
 
 
 def load_tokenizer(path: str):
@@ -243,10 +245,11 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids
             return pa.RecordBatch.from_arrays(columns, names=["part", "shard", "first_token", "n_tokens", "doc_ids", "grammar"])
 
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        slices = (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE))
+        for batch in slices:
             id_type = batch.schema.field("doc_id").type
             rows = zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)
-            own, texts = (list(x) for x in zip(*rows, strict=True)) if batch.num_rows else ([], [])
+            own, texts = (list(x) for x in zip(*rows, strict=True))
             for some, whole in in_chunks(own, texts, CHUNK_CHARS):
                 for name, ids in zip(some, encoder.apply(whole), strict=True):
                     names.append(name)
@@ -256,6 +259,7 @@ def shards(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, shard_ids
                         yield close()
                         shard, first = shard + 1, first + held
                         names, coded, held = [], [], 0
+                        pa.default_memory_pool().release_unused()
         if names:
             yield close()
 
