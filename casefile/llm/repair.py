@@ -111,15 +111,40 @@ class Grammar:
         return Grammar(base, left, right, lengths, seq, symbol_ends, token_ends)
 
 
+def _hashes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A number of ``_HASH_BITS`` bits for every pair."""
+    mixed = left * _MIX ^ (right + np.uint32(1)) * _OTHER
+    return (mixed >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
+
+
 def _buckets(seq: np.ndarray, last: np.ndarray) -> np.ndarray:
     """A bucket for every pair of neighbours, and one apart for pairs that would
     cross the end of a document."""
-    mixed = seq[:-1] * _MIX ^ (seq[1:] + np.uint32(1)) * _OTHER
-    bucket = (mixed >> np.uint32(32 - _HASH_BITS)).astype(np.int64)
+    bucket = _hashes(seq[:-1], seq[1:])
     bucket[last[:-1]] = 1 << _HASH_BITS
     return bucket
 
 
+def _numbers(chosen: np.ndarray, keys: np.ndarray, width: int, bucket: np.ndarray) -> np.ndarray:
+    """The place of each key in ``chosen`` (sorted, distinct), -1 of one that is not
+    there; ``bucket`` has the keys' hashes. A table by hash has one chosen pair a hash,
+    and only keys of a hash that has more are searched for among those."""
+    own = _hashes((chosen // width).astype(np.uint32), (chosen % width).astype(np.uint32))
+    table = np.full(1 << _HASH_BITS, -1, np.int32)
+    table[own] = np.arange(len(chosen), dtype=np.int32)
+    at = table[bucket]
+    at[chosen[at] != keys] = -1
+    beside = np.flatnonzero(table[own] != np.arange(len(chosen)))
+    if len(beside):
+        crowded = np.zeros(1 << _HASH_BITS, bool)
+        crowded[own[beside]] = True
+        rest = np.flatnonzero((at < 0) & crowded[bucket])
+        other = beside[np.minimum(np.searchsorted(chosen[beside], keys[rest]), len(beside) - 1)]
+        same = chosen[other] == keys[rest]
+        at[rest[same]] = other[same]
+    return at
+
+
 def compress(ids: np.ndarray, token_ends: np.ndarray, base: int, least: int = LEAST) -> Grammar:
     """The grammar of documents that end before ``token_ends`` in ``ids``, all of
     them below ``base``. Rules are used ``least`` times or more when made.
@@ -187,8 +212,8 @@ def _replace(seq, last, places, keys, chosen, counts, width, least):
     its document ends, where a chosen pair is left, and the pairs that got a rule; None if no pair keeps ``least`` occurrences."""
     if not len(chosen):
         return None
-    at = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
-    hit = chosen[at] == keys
+    at = _numbers(chosen, keys, width, _hashes(seq[places], seq[places + 1]))
+    hit = at >= 0
     places, at = places[hit], at[hit]
     waiting = np.zeros(len(seq), bool)
     waiting[places] = True

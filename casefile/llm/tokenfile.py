@@ -90,7 +90,9 @@ def _words(texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
         lowered = pc.if_else(special, whole, lowered)
     cut = pc.ascii_split_whitespace(lowered)
     coded = cut.flatten().dictionary_encode()
-    return coded.indices.to_numpy(), coded.dictionary.to_pylist(), cut.offsets.to_numpy()
+    # Not to_pylist(), which makes a scalar of every word first.
+    distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    return coded.indices.to_numpy(), distinct, cut.offsets.to_numpy()
 
 
 class Letters:
@@ -101,7 +103,8 @@ class Letters:
     side, and the ids that end a word tell them apart.
     """
 
-    SMALL = re.compile("[a-zß-öø-ÿ]+")
+    LETTERS = "[a-zß-öø-ÿ]+"
+    SMALL = re.compile(LETTERS)
     BEFORE_MARKS = re.compile("[0-9a-zA-ZÀ-ÖØ-öø-ÿ]")
     LOWER = {c: c + 32 for c in (*range(0x41, 0x5B), *range(0xC0, 0xD7), *range(0xD8, 0xDF))}
 
@@ -110,18 +113,28 @@ class Letters:
 
         bytes_of = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         letters = [chr(c) for c in range(0x100) if self.SMALL.fullmatch(chr(c))]
-        self.alphabet = {ord(c): bytes_of.pre_tokenize_str(c)[0][0] for c in letters}
+        stands = {c: bytes_of.pre_tokenize_str(c)[0][0] for c in letters}
+        # One letter after the other is replaced, so none may stand for another's byte.
+        self.alphabet = {c: s for c, s in stands.items() if c != s}
+        apart = not set(self.alphabet) & set("".join(stands.values()))
         self.model = Tokenizer(tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
         suffix, vocabulary = tokenizer.model.end_of_word_suffix, tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for word, i in vocabulary.items() if suffix and word.endswith(suffix)]] = True
         probes = [*letters, "".join(letters), *(a + b for a, b in pairwise(letters))]
-        self.usable = self.ids(probes) == _packed(tokenizer, probes)
+        self.usable = apart and self.ids(probes) == _packed(tokenizer, probes)
+
+    @classmethod
+    def small(cls, words: list[str]) -> list[bool]:
+        """Of each word, whether it is of small Latin letters alone."""
+        return pc.match_substring_regex(pa.array(words, pa.large_string()), f"^{cls.LETTERS}$").to_numpy(False).tolist()
 
     def ids(self, words: list[str]) -> list[bytes] | None:
         """Ids of each word; None if the model does not end every word by an id."""
-        text = " ".join(words).translate(self.alphabet)
+        text = " ".join(words)
+        for letter, stands in self.alphabet.items():
+            text = text.replace(letter, stands)
         found = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.flatnonzero(self.ends[found]) + 1) * 4
         if len(ends) != len(words) or (len(ends) and ends[-1] != found.nbytes):
@@ -153,39 +166,43 @@ class Encoder:
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """Ids of words, those of plain letters by the model alone."""
-        plain = [bool(Letters.SMALL.fullmatch(w)) and self.letters.usable for w in words]
+        if not self.letters.usable:
+            return _packed(self.tokenizer, words)
+        plain = Letters.small(words)
         small = self.letters.ids(list(compress_by(words, plain))) if any(plain) else []
         if small is None:
             return _packed(self.tokenizer, words)
         fast, slow = iter(small), iter(_packed(self.tokenizer, [w for w, p in zip(words, plain, strict=True) if not p]))
         return [next(fast) if p else next(slow) for p in plain]
 
-    def _parts(self, word: str) -> tuple[str, ...]:
-        """A word as one or two that the tokenizer takes apart anyway: marks after a
-        Latin letter or digit are a word of their own to it. Letters are lowered where
-        that leaves plain ones."""
+    def _parts(self, word: str) -> tuple[str, str]:
+        """A word as two that the tokenizer takes apart anyway: marks after a Latin
+        letter or digit are a word of their own to it; there may be none. Letters are
+        lowered where that leaves plain ones."""
         if not self.by_marks or "<|" in word:
-            return (word,)
+            return word, ""
         stem = word.rstrip(MARKS)
         if not Letters.BEFORE_MARKS.fullmatch(stem[-1:]):
             stem = word
         marks = word[len(stem) :]
-        if not stem.isascii():
+        if not stem.isascii() and not Letters.SMALL.fullmatch(stem):
             low = stem.translate(Letters.LOWER)
             stem = low if Letters.SMALL.fullmatch(low) else stem
-        return (stem, marks) if marks else (stem,)
+        return stem, marks
 
-    def _learn(self, fresh: set[str]) -> None:
+    def _learn(self, fresh: list[str]) -> None:
         """Adds words to the table; those with parts are put together from them."""
-        plain = Letters.SMALL.fullmatch
-        parts_of = {word: self._parts(word) for word in fresh if not plain(word)}
-        parts = fresh.difference(parts_of)
-        parts.update(p for own in parts_of.values() for p in own)
-        parts = list(parts.difference(self.words))
-        self.words.update(zip(parts, self._ids(parts), strict=True))
-        for word, own in parts_of.items():
-            if len(own) > 1 or own[0] is not word:
-                self.words[word] = b"".join([self.words[p] for p in own])
+        known, stems, tails = self.words, [], []
+        plain = Letters.small(fresh)
+        odd = [word for word, small in zip(fresh, plain, strict=True) if not small]
+        for word in odd:
+            stem, marks = self._parts(word)
+            stems.append(stem)
+            tails.append(marks)
+        parts = [p for p in {*compress_by(fresh, plain), *stems, *tails} if p not in known]
+        known.update(zip(parts, self._ids(parts), strict=True))
+        for word, stem, marks in zip(odd, stems, tails, strict=True):
+            known[word] = known[stem] + known[marks]
 
     def apply(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of every text: the ids of the distinct words of
@@ -193,13 +210,14 @@ class Encoder:
         if self.words is None:
             return _packed(self.tokenizer, texts)
         at, distinct, before = _words(texts)
-        fresh = {w for w in distinct if w not in self.words}
+        known = list(map(self.words.get, distinct))
+        fresh = [w for w, ids in zip(distinct, known, strict=True) if ids is None]
         if fresh:
             if len(self.words) + len(fresh) > self.limit:
                 self.words.clear()
-                fresh = set(distinct)
+                fresh = distinct
             self._learn(fresh)
-        known = [self.words[w] for w in distinct]
+            known = list(map(self.words.get, distinct))
         size = np.fromiter(map(len, known), np.int64, len(known)) // 4
         start = np.cumsum(size) - size
         counts = size[at]

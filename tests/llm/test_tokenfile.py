@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from casefile.llm import tokenfile
+from casefile.llm import repair, tokenfile
 from casefile.llm.queries import WORD_MODEL, op12_repair
 from casefile.llm.repair import Grammar, compress
 from tests.compare import TESTDATA
@@ -180,3 +180,23 @@ def test_words_taken_apart_at_marks_are_as_the_library_has_them():
     assert encoder.by_marks and encoder.apply(texts) == expected
     assert tokenfile.Encoder(tokenfile.load_tokenizer(PATH), limit=40).apply(texts) == expected
     assert encoder.apply([]) == [] and encoder.apply(["", "  "]) == [b"", b""]
+
+
+def test_pairs_are_numbered_where_hashes_collide(monkeypatch):
+    """What a table by hash finds is what a search finds, with few hashes or many."""
+    rng = np.random.default_rng(4)
+    for bits in (3, 8, 20):
+        monkeypatch.setattr(repair, "_HASH_BITS", bits)
+        left, right = rng.integers(0, 60, (2, 5000)).astype(np.uint32)
+        keys = left.astype(np.int64) * 60 + right
+        chosen = np.unique(rng.choice(keys, 400))
+        at = repair._numbers(chosen, keys, 60, repair._hashes(left, right))
+        place = np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)
+        assert at.tolist() == np.where(chosen[place] == keys, place, -1).tolist()
+        assert (at >= 0).any() and (at < 0).any()
+
+
+def test_letters_of_many_words_at_once():
+    words = ["", "a", "aß", "÷", "a÷", "É", "éÿ", "a1", "it's", "x\n", "日", "zþ"]
+    assert tokenfile.Letters.small(words) == [bool(tokenfile.Letters.SMALL.fullmatch(w)) for w in words]
+    assert tokenfile.Letters.small([]) == []
