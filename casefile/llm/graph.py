@@ -24,7 +24,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large and small stars: every node links its larger neighbours,
     then all its smaller ones, to the smallest node it knows. Minima are combined
     before the shuffle, and the join back is by node, where Spark splits a node
-    with very many neighbours. Each round is written to the shared folder.
+    with very many neighbours. Each half of a round is one join and is written to the
+    shared folder: the driver keeps what it compiles for a plan, so plans are short.
     """
     links = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")
@@ -32,21 +33,16 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = saved(links.distinct(), "links")
     state = None
     for _ in range(max_rounds):
-        both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        turned = F.struct(F.col("b").alias("a"), F.col("a").alias("b"))
+        both = current.select(F.inline(F.array(F.struct("a", "b"), turned)))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = (
-            both.join(least, "a")
-            .where("b > a AND b <> m")
-            .select(F.col("b").alias("a"), F.col("m").alias("b"))
-        )
-        # ``a`` itself follows through its own smaller neighbours.
-        own = both.join(least, "a").where("b <= a").select("a", F.col("m").alias("b"))
-        large = large.unionByName(own).where("a <> b").distinct()
+        # A larger neighbour follows to the smallest one; where the other end is smaller,
+        # ``a`` itself does.
+        large = both.join(least, "a").select(F.greatest("a", "b").alias("a"), F.col("m").alias("b"))
+        large = saved(large.where("a <> b").distinct(), "stars")
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(lowest, "a")
-        small = joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(joined.select("a", F.col("m").alias("b")))
-        current = saved(small.distinct(), "links")
+        joined = large.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        current = saved(joined.where("a <> b").distinct(), "links")
         seen = current.agg(
             F.count(F.lit(1)).alias("n"),
             F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("mark"),
